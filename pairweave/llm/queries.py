@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.llm import chat, minhash, quality, sharding, tokens
+from pairweave.llm import chat, minhash, passages, quality, sharding, tokens
 from pairweave.llm.common import documents
 
 
@@ -16,6 +16,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(documents(spark, sf_dir)).drop("longest_repeat")
 
 
+def op1_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def ranks_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -67,6 +71,7 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_repeated_passages": op1_repeated_passages,
     "op2_section_tokens": op2_section_tokens,
     "op4_quality_rules": op4_quality_rules,
     "op6_byte_bpe": op6_byte_bpe,
