@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.llm import chat, minhash, passages, quality, sharding, tokens
+from pairweave.llm import chat, imatch, imatch_sql, minhash, passages, quality, secrets, sharding, tokens
 from pairweave.llm.common import documents
 
 
@@ -28,6 +28,14 @@ def op2_section_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.section_tokens(documents(spark, sf_dir), ranks_path(), public_tokenizers.PATTERN)
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.imatch(documents(spark, sf_dir))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secrets(documents(spark, sf_dir))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = tokens.encode_decode(documents(spark, sf_dir), ranks_path(), public_tokenizers.PATTERN)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -73,7 +81,9 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_section_tokens": op2_section_tokens,
+    "op3_imatch": op3_imatch,
     "op4_quality_rules": op4_quality_rules,
+    "op5_secrets": op5_secrets,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_chat_format": op7_chat_format,
     "op8_near_duplicates": op8_near_duplicates,
@@ -81,7 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_reshard": op10_reshard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_imatch": imatch_sql.SQL, "op5_secrets": secrets.sql()}
 
 ORACLES["op4_quality_rules"] = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
