@@ -1 +1,4 @@
+"""Queries over the given tables: one for each operator."""
 
+from pairweave.plans import evaluation, stats  # noqa: F401
+from pairweave.plans.registry import ORACLES, QUERIES  # noqa: F401
