@@ -37,6 +37,8 @@ LEAST, MOST = 200, 20
 RATES = ["40", "10", "04", "01"]
 PER_RATE = 4
 SUBSETS = PER_RATE * len(RATES)
+#: Hexadecimal digits of a part's hash.
+DIGITS = 8
 #: Lexicons of more terms are joined by a shuffle.
 MOST_SENT = 400_000
 ROWS_PER_RANGE = 1000
@@ -80,20 +82,30 @@ def in_order(docs: DataFrame) -> DataFrame:
     )
 
 
-def fingerprints(texts: DataFrame, words: DataFrame) -> DataFrame:
-    """``texts`` has keys ``span`` and ``place``, and ``versions``: an array of (version, text, also). Gives (span, place, version, also, parts): the hash of each part, empty where it holds no term."""
-    digest = F.md5(F.col("v.text").cast("binary"))
-    flat = texts.select("span", "place", F.explode("versions").alias("v")).select("span", "place", F.col("v.version").alias("version"), F.col("v.also").alias("also"), digest.alias("whole"), terms(F.col("v.text")).alias("terms"))
-    flat = flat.select("span", "place", "version", "also", "whole", F.explode("terms").alias("term"))
+def fingerprints(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """(span, place, also, fingerprint, edited_fingerprint) of rows (span, place, text, edited, also)."""
+    both = F.explode(F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text"), F.col("also").alias("also")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"), F.lit(None).cast(rows.schema["also"].dataType).alias("also"))))
+    flat = rows.select("span", "place", both.alias("v")).select("span", "place", "v.version", "v.also", F.md5(F.col("v.text").cast("binary")).alias("whole"), F.explode(terms(F.col("v.text"))).alias("term"))
     row = F.col("term") == ""  # what belongs to the row travels with its empty term only
     flat = flat.select("span", "place", "version", "term", F.when(row, F.col("also")).alias("also"), F.when(row, F.col("whole")).alias("whole"))
     words = words.union(words.sparkSession.range(1).select(F.lit("").alias("term"), F.lit(0).alias("parts")))
     few = words.count() <= MOST_SENT
     kept = flat.join(F.broadcast(words) if few else words, "term")
-    grouped = kept.groupBy("span", "place", "version").agg(F.max("also").alias("also"), F.max("whole").alias("whole"), F.sort_array(F.collect_list(F.when(F.col("term") != "", F.struct("term", "parts")))).alias("t"))
-    hashed = [F.expr(f"filter(t, x -> x.parts & {1 << s} > 0)") for s in range(SUBSETS)]
-    parts = F.array(*[F.when(F.size(x) > 0, F.substring(F.md5(F.array_join(x.getField("term"), " ").cast("binary")), 1, 12)).otherwise("") for x in hashed])
-    return grouped.select("span", "place", "version", "also", parts.alias("parts"), F.when(F.size("t") == 0, F.concat(F.lit("x"), F.col("whole"))).otherwise(F.array_join(parts, ":")).alias("fingerprint"))
+    of = lambda v: F.sort_array(F.collect_list(F.when((F.col("term") != "") & (F.col("version") == v), F.struct("term", "parts"))))
+    whole = lambda v: F.max(F.when(F.col("version") == v, F.col("whole")))
+    grouped = kept.groupBy("span", "place").agg(F.max("also").alias("also"), *[f(v).alias(f"{n}{v}") for v in (0, 1) for n, f in (("t", of), ("whole", whole))])
+
+    def fingerprint(v: int):
+        inside = [F.expr(f"filter(t{v}, x -> x.parts & {1 << s} > 0)") for s in range(SUBSETS)]
+        parts = F.array(*[F.when(F.size(x) > 0, F.substring(F.md5(F.array_join(x.getField("term"), " ").cast("binary")), 1, DIGITS)).otherwise("") for x in inside])
+        return F.when(F.size(f"t{v}") == 0, F.concat(F.lit("x"), F.col(f"whole{v}"))).otherwise(F.array_join(parts, ":"))
+
+    return grouped.select("span", "place", "also", fingerprint(0).alias("fingerprint"), fingerprint(1).alias("edited_fingerprint"))
+
+
+def _parts(fingerprint: str) -> Column:
+    """The hashes of the parts; none in the fingerprint of a text without terms of the lexicon."""
+    return F.when(F.col(fingerprint).startswith("x"), F.array(*[F.lit("")] * SUBSETS)).otherwise(F.split(fingerprint, ":"))
 
 
 def likeness(x: str, y: str, p: str, q: str) -> Column:
@@ -111,13 +123,11 @@ def imatch(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, char_length(text) - int(floor(char_length(text) / 3)))"), F.substring("next_text", F.lit(1), third))
     rows = in_order(docs).withColumn("edited", edited)
     also = F.struct("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "next_span", "next_place")
-    nothing = F.lit(None).cast("struct<doc_id:bigint,n_chars:bigint,edited_sha256:string,next_span:bigint,next_place:int>")
-    versions = F.array(F.struct(F.lit(0).alias("version"), F.col("text").alias("text"), also.alias("also")), F.struct(F.lit(1).alias("version"), F.col("edited").alias("text"), nothing.alias("also")))
-    found = stored(fingerprints(rows.select("span", "place", versions.alias("versions")), stored(lexicon(docs))))
-    own = found.filter("version = 0").select("span", "place", "also.*", "fingerprint", "parts")
-    other = found.filter("version = 1").select("span", "place", F.col("fingerprint").alias("edited_fingerprint"), F.col("parts").alias("edited_parts"))
-    following = own.select(F.col("span").alias("next_span"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"), F.col("parts").alias("next_parts"))
-    return own.join(other, ["span", "place"]).join(following, ["next_span", "next_place"]).select(
+    found = stored(fingerprints(rows.select("span", "place", "text", "edited", also.alias("also")), stored(lexicon(docs))))
+    own = found.select("span", "place", "also.*", "fingerprint", "edited_fingerprint")
+    following = found.select(F.col("span").alias("next_span"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
+    rows = own.join(following, ["next_span", "next_place"]).withColumns({"p": _parts("fingerprint"), "q": _parts("edited_fingerprint"), "r": _parts("next_fingerprint")})
+    return rows.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint", "parts", "edited_parts").alias("near_edited"), likeness("fingerprint", "next_fingerprint", "parts", "next_parts").alias("near_next"),
+        likeness("fingerprint", "edited_fingerprint", "p", "q").alias("near_edited"), likeness("fingerprint", "next_fingerprint", "p", "r").alias("near_next"),
     )

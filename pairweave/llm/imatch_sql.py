@@ -16,7 +16,7 @@ def _likeness(x: str, y: str, p: str, q: str) -> str:
 def _parts(t: str) -> str:
     def one(s: int) -> str:
         inside = f"list_filter({t}, lambda x: substring(md5(x), {2 * s + 1}, 2) < '{I.RATES[s // I.PER_RATE]}')"
-        return f"CASE WHEN len({inside}) > 0 THEN substring(md5(array_to_string({inside}, ' ')), 1, 12) ELSE '' END"
+        return f"CASE WHEN len({inside}) > 0 THEN substring(md5(array_to_string({inside}, ' ')), 1, {I.DIGITS}) ELSE '' END"
 
     return "[" + ", ".join(one(s) for s in range(I.SUBSETS)) + "]"
 
