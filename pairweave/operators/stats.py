@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation of the rows that have both; null where one of them doesn't vary."""
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def summaries(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, mean and deviation by group, and over all (keys null)."""
     quartiles = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
@@ -29,7 +36,7 @@ def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> Da
 def agreement(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson and Spearman correlation and the linear fit of y on x by group."""
     both = average_ranks(average_ranks(rows, keys, x, "_rx"), keys, y, "_ry")
-    return both.groupBy(*keys).agg(F.corr(x, y).alias("pearson"), F.corr("_rx", "_ry").alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+    return both.groupBy(*keys).agg(correlation(F.col(x), F.col(y)).alias("pearson"), correlation(F.col("_rx"), F.col("_ry")).alias("spearman"), F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
 def kendall(rows: DataFrame, keys: list[str], x: str, y: str, ident: str) -> DataFrame:
@@ -92,4 +99,4 @@ def spread_by_cell(rows: DataFrame, cell: list[str], value: str) -> DataFrame:
 def correlation_by_cell(rows: DataFrame, cell: list[str], value: str, *others: str) -> DataFrame:
     """Correlation of values, and of their squares, with other columns."""
     square = F.col(value) * F.col(value)
-    return rows.groupBy(*cell).agg(*[F.corr(value, o).alias(f"r_{o}") for o in others], *[F.corr(square, F.col(o).cast("double")).alias(f"r2_{o}") for o in others])
+    return rows.groupBy(*cell).agg(*[correlation(F.col(value), F.col(o)).alias(f"r_{o}") for o in others], *[correlation(square, F.col(o)).alias(f"r2_{o}") for o in others])
