@@ -7,19 +7,22 @@ chunk all choices of ERRORS wrong positions are enumerated and the symbols of
 the others are a key, so every such pair shares a key. At a similarity of 0.75
 all of a pair's chunks have more errors with probability 1.2e-5; above, less.
 
-A bucket (the documents of one key) never gives all its pairs:
-
-1.  each member is linked with the bucket's first member only; these links are
-    confirmed on the whole shingle sets; components are built from them;
-2.  where a bucket still holds several components, pairs across components are
-    compared. A bucket of over SMALL members is first cut by further symbols: two
-    signatures within the distance bound agree in one of any
-    ``bound + 1`` positions, so members meet again under one symbol more. What is
-    still large after DEPTH cuts is compared block by block.
-
-So every pair within the distance bound is either confirmed or refuted on its
-sets or joined through other links. Documents of equal shingle sets are one
-node throughout.
+A bucket (the documents of one key) never gives all its pairs as rows:
+
+1.  each member is linked with the bucket's first member, its hub, only; these
+    links are confirmed on the whole shingle sets; components are built from them;
+2.  where a bucket still holds several components, its members are linked with
+    the member that agrees best with the bucket's most frequent symbols (a text
+    that the others were made from, where there is one), as in step 1;
+3.  where it holds several components even then, tasks compare signatures, and
+    sketches of SKETCH symbols, across components, buckets of over BLOCK members
+    block by block, and give the pairs that are near enough. A pair comes from the
+    first bucket it shares. These are confirmed on the whole sets as well, hub by
+    hub, so that a set travels once for each hub and not once for each pair.
+
+So every pair within the distance bound is confirmed or refuted on its sets, or
+joined through other links already. Documents of equal shingle sets are one node
+throughout.
 
 Cases: a null or empty text, or one without words, has no shingles and is in no
 group; a text of one to four words has one shingle, all its words; texts are
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.llm.common import Texts, stored
@@ -48,14 +51,17 @@ K = 5
 CHUNKS, CHUNK, ERRORS = 5, 5, 2
 POSITIONS = CHUNKS * CHUNK
 BOUND = CHUNKS * (ERRORS + 1) - 1
-#: Pairs that agree in fewer positions are not worth a look at their sets: at a similarity of 0.75 one in a million.
-LEAST_EQUAL = 8
-SMALL, DEPTH = 64, 3
+#: Pairs that agree in fewer positions are not worth a look at their sets: at a similarity of 0.75 one in 100,000.
+LEAST_EQUAL = 9
+#: A sketch has 8 bits of each of SKETCH more hash functions; at a similarity of 0.75 fewer than LEAST_SKETCH agree in one of 100,000 pairs.
+SKETCH, LEAST_SKETCH = 512, 341
+#: Members of a bucket, and shingles of the sets of a hub, that one task holds at a time (twice these, where blocks meet).
+BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 #: Up to so many documents, those to be read again are sent to the scan; beyond, the texts are shuffled.
 MOST_SENT = 200_000
 
 _U = np.uint64
-_random = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, POSITIONS), dtype=np.uint64) * _U(2) + _U(1)
+_random = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, (2, POSITIONS + SKETCH), dtype=np.uint64) * _U(2) + _U(1)
 
 
 def _sets(column: pa.Array) -> Iterator[np.ndarray]:
@@ -66,13 +72,21 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(s[a:b])
 
 
+def _least(values: np.ndarray, first: int, end: int) -> np.ndarray:
+    """The least value under each of the hash functions first to end, spread over all bits."""
+    out = np.empty(end - first, np.uint64)
+    for a in range(first, end, 16):
+        part = _random[:, a : min(a + 16, end), None]
+        out[a - first : a - first + 16] = ((values ^ part[0]) * part[1]).min(axis=1)
+    return mix(out)
+
+
 def signature(values: np.ndarray) -> np.ndarray:
-    """16 bits of the least value under each of POSITIONS hash functions."""
-    out = np.empty(POSITIONS, np.uint64)
-    for a in range(0, POSITIONS, CHUNK):
-        part = _random[:, a : a + CHUNK, None]
-        out[a : a + CHUNK] = ((values ^ part[0]) * part[1]).min(axis=1)
-    return (mix(out) >> _U(48)).astype(np.uint16)
+    return (_least(values, 0, POSITIONS) >> _U(48)).astype(np.uint16)
+
+
+def sketch(values: np.ndarray) -> np.ndarray:
+    return (_least(values, POSITIONS, POSITIONS + SKETCH) >> _U(56)).astype(np.uint8)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -114,7 +128,7 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
                     packed = np.full(len(s), k + 1, np.uint64)
                     for p in choice:
                         packed = packed << _U(16) | s[:, p]
-                    keys[k] = mix(packed)
+                    keys[k] = mix(packed) & ~_U(63) | _U(k)  # the choice can be read from the key
                 node = np.tile(b.column("node").to_numpy(), len(CHOICES))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["key", "node"])
 
@@ -122,44 +136,76 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes allow the similarity and whose signatures agree in LEAST_EQUAL positions."""
+    """The pairs (a, b, hub), hub being a, whose sizes allow the similarity and whose signatures agree in LEAST_EQUAL positions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 equal = (_symbols(b.column("sig_a")) == _symbols(b.column("sig_b"))).sum(axis=1)
-                yield b.select(["a", "b"]).filter(pa.array(equal >= LEAST_EQUAL))
+                near = pa.array(equal >= LEAST_EQUAL)
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("a", "b", "a")], ["a", "b", "hub"])
 
     both = (
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
         .filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
     )
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long, hub long")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id, digest), from their whole texts."""
+    """(node, shingles, sketch) of the wanted (node, doc_id, digest), from their whole texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
                 found = [(n, s) for n, d, s in zip(b.column("node").to_pylist(), b.column("digest").to_pylist(), _sets(b.column("text"))) if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == d]
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64())), pa.array([sketch(s).tobytes() for _, s in found], pa.binary())], ["node", "shingles", "sketch"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     few = wanted.count() <= MOST_SENT
     joined = texts.join(F.broadcast(wanted) if few else wanted.hint("shuffle_hash"), "doc_id")
-    return joined.select("node", "digest", "text").mapInArrow(work, "node long, shingles array<long>")
+    return joined.select("node", "digest", "text").mapInArrow(work, "node long, shingles array<long>, sketch binary")
+
+
+def _blocks(node: str, count: Column) -> Column:
+    return F.pmod(F.xxhash64(node), count).cast("int")
+
+
+def _dealt(rows: DataFrame, count: Column, node: str = "node") -> DataFrame:
+    """``rows`` once for each pair of blocks (p, q), p <= q, that their own block ``own`` is in."""
+    rows = rows.withColumn("own", _blocks(node, count)).withColumn("other", F.explode(F.sequence(F.lit(0), (count - 1).cast("int"))))
+    return rows.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("other")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets have a similarity of 0.75 or more."""
-    a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("x").alias("n"), F.size("y").alias("m"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return both.filter("100L * both >= 75L * (n + m - both)").select("a", "b")
+    """The pairs (a, b) of ``pairs`` (a, b, hub) whose sets have a similarity of 0.75 or more."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            shingle = batch.column("shingles")
+            for i, (key, a, b) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in ("hub", "p", "q"))), batch.column("a").to_pylist(), batch.column("b").to_pylist())):
+                if key != now:
+                    now, held = key, {}
+                if b is None:
+                    held[a] = shingle[i].values.to_numpy(zero_copy_only=False)
+                    continue
+                x, y = held[a], held[b]
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= 75 * (len(x) + len(y) - both):
+                    found.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
+
+    ends = pairs.select("hub", F.col("a").alias("node")).union(pairs.select("hub", F.col("b").alias("node"))).distinct().join(sets.select("node", "shingles"), "node")
+    count = ends.groupBy("hub").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).alias("count"))
+    held = _dealt(ends.join(count, "hub"), F.col("count")).select("hub", "p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    own = pairs.join(count, "hub").withColumn("x", _blocks("a", F.col("count"))).withColumn("y", _blocks("b", F.col("count")))
+    asked = own.select("hub", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b", F.lit(None).cast("array<long>").alias("shingles"))
+    both = held.union(asked).repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", F.col("b").asc_nulls_first())
+    return both.mapInArrow(work, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,58 +242,103 @@ def components(edges: DataFrame) -> DataFrame:
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def _split(rows: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
-    """Members of large buckets again, under each of BOUND + 1 further symbols."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                b = whole.slice(at, 4000)
-                s, key = _symbols(b.column("sig")), b.column("key").to_numpy().view(np.uint64)
-                out = [mix(key * _U(31) + s[:, (p + depth * 7) % POSITIONS] + _U((p + 1) << 20)) for p in range(BOUND + 1)]
-                n = BOUND + 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.tile(b.column("node").to_numpy(), n)), pa.array(np.tile(b.column("root").to_numpy(), n))], ["key", "node", "root"])
-
-    return rows.join(nodes.select("node", "sig"), "node").select("key", "node", "root", "sig").mapInArrow(work, "key long, node long, root long")
+#: For the positions of a chunk that agree, as bits: which of its choices is the first; past the last if none.
+PER_CHUNK = len(CHOICES) // CHUNKS
+_FIRST = np.array([next((i for i, keep in enumerate(CHOICES[:PER_CHUNK]) if all(bits >> p & 1 for p in keep)), PER_CHUNK) for bits in range(1 << CHUNK)])
+
+
+def first_choice(equal: np.ndarray) -> np.ndarray:
+    """The first choice whose positions all agree, of rows of POSITIONS flags."""
+    bits = (equal.reshape(-1, CHUNKS, CHUNK) << np.arange(CHUNK)).sum(axis=2)
+    first = _FIRST[bits]
+    chunk = (first < PER_CHUNK).argmax(axis=1)
+    return np.where((first < PER_CHUNK).any(axis=1), chunk * PER_CHUNK + first[np.arange(len(first)), chunk], len(CHOICES))
+
+
+def near_in_bucket(choice: int, sig: np.ndarray, sketches: np.ndarray, size: np.ndarray, root: np.ndarray, own: np.ndarray, across: bool, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of members of different roots that are near enough and meet in this bucket first; ``across``: of different blocks only. Pairs with the hub have been looked at."""
+    out = []
+    for i in range(len(sig) - 1):
+        j = np.arange(i + 1, len(sig))
+        j = j[(root[j] != root[i]) & ~hub[j] & (100 * np.minimum(size[j], size[i]) >= 75 * np.maximum(size[j], size[i]))] if not hub[i] else j[:0]
+        if across:
+            j = j[own[j] != own[i]]
+        if len(j):
+            equal = sig[j] == sig[i]
+            near = equal.sum(axis=1) >= LEAST_EQUAL
+            j = j[near][first_choice(equal[near].astype(np.int64)) == choice]
+            j = j[(sketches[j] == sketches[i]).sum(axis=1) >= LEAST_SKETCH]
+            out.append(np.stack([np.full(len(j), i), j]))
+    both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+    return both[0], both[1]
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: int, names: list[str], arrays: list[tuple[str, type, int]]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """The groups of rows sorted by their first ``keys`` columns: integer columns, one line each, and columns of fixed-width symbols."""
+    held, extra = np.zeros((len(names), 0), np.int64), [np.zeros((0, width), kind) for _, kind, width in arrays]
+
+    def cut(x: np.ndarray, more: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        if x.shape[1]:
+            at = np.flatnonzero((x[:keys, 1:] != x[:keys, :-1]).any(axis=0)) + 1
+            for i, j in zip([0, *at], [*at, x.shape[1]]):
+                yield x[:, i:j], [m[i:j] for m in more]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names])], axis=1)
+        extra = [np.concatenate([m, np.frombuffer(b"".join(batch.column(c).to_pylist()), kind).reshape(-1, width)]) for m, (c, kind, width) in zip(extra, arrays)]
+        other = np.flatnonzero((held[:keys] != held[:keys, -1:]).any(axis=0))
+        done = int(other[-1]) + 1 if len(other) else 0
+        yield from cut(held[:, :done], [m[:done] for m in extra])
+        held, extra = held[:, done:], [m[done:] for m in extra]
+    yield from cut(held, extra)
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
-    """The rows (key, node, root) of buckets with several roots, and each bucket's size."""
+    """``rows`` (key, node, hub, root) of buckets of several roots, with the bucket's ``size``."""
     per_root = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    several = per_root.groupBy("key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("key", "size")
-    return rows.join(several, "key")
-
-
-def _across(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b), a < b, of different roots that share a bucket."""
-    mixed = stored(_mixed(rows))
-    pairs = None
-    for depth in range(DEPTH + 1):
-        small, large = mixed.filter(F.col("size") <= SMALL), mixed.filter(F.col("size") > SMALL)
-        found = _pairs(small, F.lit(0), F.lit(0))
-        pairs = found if pairs is None else pairs.union(found)
-        if large.isEmpty():
-            break
-        if depth == DEPTH:  # all blocks of a bucket against all its blocks
-            block = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / SMALL)).cast("int")
-            blocks = F.sequence(F.lit(0), (F.ceil(F.col("size") / SMALL) - 1).cast("int"))
-            own = large.withColumn("own", block)
-            left = own.select("*", F.explode(blocks).alias("to"))
-            pairs = pairs.union(_pairs_of(left.withColumn("p", F.col("own")).withColumn("q", F.col("to")), own.select("*", F.explode(blocks).alias("p")).withColumn("q", F.col("own"))))
-            break
-        mixed = stored(_mixed(_split(large, nodes, depth)))
-    return pairs.distinct()
+    return rows.join(per_root.groupBy("key").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).filter("roots > 1 and size > 2").select("key", "size"), "key")
 
 
-def _pairs(rows: DataFrame, p, q) -> DataFrame:
-    rows = rows.withColumn("p", p).withColumn("q", q)
-    return _pairs_of(rows, rows)
+def _central(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): each member of a mixed bucket with the member that agrees best with the most frequent symbols, where their roots differ. Large buckets are judged block by block."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[int, int, int]] = []
+        for x, (sig,) in _grouped(batches, 2, ["key", "own", "node"], [("sig", np.uint16, POSITIONS)]):
+            score = np.zeros(len(sig), np.int64)
+            for p in range(POSITIONS):
+                _, which, count = np.unique(sig[:, p], return_inverse=True, return_counts=True)
+                score += which == count.argmax()
+            best = int(score.argmax())
+            out.append((int(x[0, 0]), int(x[2, best]), int(score[best])))
+            if len(out) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["key", "node", "score"])
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["key", "node", "score"])
+
+    own = rows.select("key", "node", _blocks("node", F.ceil(F.col("size") / BLOCK)).alias("own")).join(nodes.select("node", "sig"), "node")
+    scored = own.repartition("key", "own").sortWithinPartitions("key", "own").mapInArrow(work, "key long, node long, score long")
+    best = scored.groupBy("key").agg(F.max(F.struct("score", "node")).alias("x")).select("key", F.col("x.node").alias("centre"))
+    roots = rows.select(F.col("node").alias("centre"), F.col("root").alias("centre_root")).distinct()
+    return rows.join(best.join(roots, "centre"), "key").filter("root <> centre_root").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _across(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, hub): near pairs of different roots that share a bucket; ``rows``: (key, node, hub, root, size)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "p", "q", "node", "hub", "root", "own", "n_shingles"]
+        for x, (sig, sketches) in _grouped(batches, 3, names, [("sig", np.uint16, POSITIONS), ("sketch", np.uint8, SKETCH)]):
+            a, b = near_in_bucket(int(x[0, 0]) & 63, sig, sketches, x[7], x[5], x[6], x[1, 0] != x[2, 0], x[3] == x[4])
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[3, a], x[3, b], x[4, a])], ["a", "b", "hub"])
 
-def _pairs_of(left: DataFrame, right: DataFrame) -> DataFrame:
-    a = left.select("key", "p", "q", F.col("node").alias("a"), F.col("root").alias("ra"))
-    b = right.select("key", "p", "q", F.col("node").alias("b"), F.col("root").alias("rb"))
-    return a.join(b, ["key", "p", "q"]).filter("a < b and ra <> rb").select("a", "b")
+    members = rows.join(nodes.select("node", "n_shingles", "sig"), "node").join(sets.select("node", "sketch"), "node")
+    dealt = _dealt(members, F.ceil(F.col("size") / BLOCK))
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(work, "a long, b long, hub long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -261,19 +352,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     keys = bucket_keys(nodes)
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).filter("n > 1").select("key", "hub")
     members = stored(keys.join(shared, "key"))
-    stars = stored(_alike(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes))
+    near = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "digest")
+    sets = stored(_whole_sets(docs, near))
+    edges = stored(_confirmed(_alike(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes), sets))
+    joined = components(edges)
 
-    def ends(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    def mixed() -> DataFrame:
+        rooted = members.join(joined, "node", "left").select("key", "node", "hub", F.coalesce("root", "node").alias("root"))
+        return stored(_mixed(rooted))
 
-    sets = stored(_whole_sets(docs, ends(stars).join(nodes.select("node", "doc_id", "digest"), "node")))
-    edges = stored(_confirmed(stars, sets))
-    joined = components(edges)
-    rooted = members.select("key", "node").join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    others = stored(_alike(_across(rooted, nodes), nodes).join(stars, ["a", "b"], "left_anti"))
-    if not others.isEmpty():
-        missing = ends(others).join(sets.select("node"), "node", "left_anti").join(nodes.select("node", "doc_id", "digest"), "node")
-        more = stored(_confirmed(others, sets.union(_whole_sets(docs, missing))))
+    for find in (lambda rows: _alike(_central(rows, nodes), nodes), lambda rows: _across(rows, nodes, sets)):
+        more = stored(_confirmed(stored(find(mixed())), sets))
         if not more.isEmpty():
             joined = components(joined.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
     known = nodes.select("node", F.col("doc_id").alias("first_id"), "digest").join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -2,6 +2,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pairweave.llm import minhash as M
@@ -71,9 +72,9 @@ def test_brute_force(spark):
 
 
 def test_hot_buckets(spark, monkeypatch):
-    """Large buckets of several components: cut, then compared block by block."""
-    monkeypatch.setattr(M, "SMALL", 3)
-    monkeypatch.setattr(M, "DEPTH", 1)
+    """Large buckets of several components, and large sets of a hub: compared block by block."""
+    monkeypatch.setattr(M, "BLOCK", 7)
+    monkeypatch.setattr(M, "BLOCK_SHINGLES", 500)
     r = random.Random(4)
     voc = [f"v{i}" for i in range(4000)]
     core = [r.choice(voc) for _ in range(70)]
@@ -102,6 +103,14 @@ def test_keep_one(spark):
     assert M.near_duplicates(docs.limit(0)).count() == 0 and M.keep_one(docs.limit(0)).count() == 0
 
 
+def test_first_choice():
+    r = random.Random(3)
+    for _ in range(300):
+        flags = np.array([[r.random() < 0.6 for _ in range(M.POSITIONS)]])
+        want = next((k for k, c in enumerate(M.CHOICES) if all(flags[0, p] for p in c)), len(M.CHOICES))
+        assert M.first_choice(flags.astype(np.int64))[0] == want
+
+
 def test_guarantee():
     """Any two signatures within the bound share the symbols of one choice."""
     r = random.Random(9)
