@@ -29,7 +29,7 @@ WINDOW = 3
 #: Repeats of fewer words are ordinary phrases and don't count as covered.
 MIN_REPEAT = 10
 #: A text goes if repeats cover more than this share of its words,
-MAX_COVERED = 0.5
+MAX_COVERED = 0.4
 #: or if a single repeat is longer than this, in words.
 MAX_REPEAT = 200
 MIN_WORDS = 50
