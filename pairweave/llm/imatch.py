@@ -108,13 +108,19 @@ def _parts(fingerprint: str) -> Column:
     return F.when(F.col(fingerprint).startswith("x"), F.array(*[F.lit("")] * SUBSETS)).otherwise(F.split(fingerprint, ":"))
 
 
-def likeness(x: str, y: str, p: str, q: str) -> Column:
-    """x, y: columns of fingerprints; p, q: of their parts."""
-    either = [f"({' + '.join(f'int({p}[{s}] <> {chr(39) * 2} or {q}[{s}] <> {chr(39) * 2})' for s in range(g, g + PER_RATE))})" for g in range(0, SUBSETS, PER_RATE)]
-    equal = [f"({' + '.join(f'int({p}[{s}] <> {chr(39) * 2} and {p}[{s}] = {q}[{s}])' for s in range(g, g + PER_RATE))})" for g in range(0, SUBSETS, PER_RATE)]
-    best = ", ".join(f"if({e} >= 2, {m} / {e}, 0.0D)" for e, m in zip(either, equal))
-    total, same = " + ".join(either), " + ".join(equal)
-    return F.expr(f"case when {x} = {y} then 1.0D when {total} = 0 then 0.0D else greatest({best}, ({same}) / ({total})) end")
+def with_likeness(rows: DataFrame, name: str, x: str, y: str, p: str, q: str) -> DataFrame:
+    """Adds the likeness of fingerprints x and y, whose parts are p and q: the best share of equal parts of a rate that has two parts with terms, or the share of all parts."""
+
+    def by_rate(flag: str) -> Column:
+        flags = f"zip_with({p}, {q}, (a, b) -> int({flag}))"
+        return F.expr(f"transform(sequence(0, {len(RATES) - 1}), g -> aggregate(slice({flags}, g * {PER_RATE} + 1, {PER_RATE}), 0, (a, b) -> a + b))")
+
+    total = "aggregate({}, 0, (a, b) -> a + b)"
+    either, equal = total.format("_either"), total.format("_equal")
+    best = "array_max(zip_with(_either, _equal, (e, m) -> if(e >= 2, m / e, 0.0D)))"
+    value = F.expr(f"case when {x} = {y} then 1.0D when {either} = 0 then 0.0D else greatest({best}, {equal} / {either}) end")
+    out = rows.withColumns({"_either": by_rate("a <> '' or b <> ''"), "_equal": by_rate("a <> '' and a = b")})
+    return out.withColumn(name, value).drop("_either", "_equal")
 
 
 def imatch(docs: DataFrame) -> DataFrame:
@@ -127,7 +133,6 @@ def imatch(docs: DataFrame) -> DataFrame:
     own = found.select("span", "place", "also.*", "fingerprint", "edited_fingerprint")
     following = found.select(F.col("span").alias("next_span"), F.col("place").alias("next_place"), F.col("fingerprint").alias("next_fingerprint"))
     rows = own.join(following, ["next_span", "next_place"]).withColumns({"p": _parts("fingerprint"), "q": _parts("edited_fingerprint"), "r": _parts("next_fingerprint")})
-    return rows.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness("fingerprint", "edited_fingerprint", "p", "q").alias("near_edited"), likeness("fingerprint", "next_fingerprint", "p", "r").alias("near_next"),
-    )
+    rows = with_likeness(rows, "near_edited", "fingerprint", "edited_fingerprint", "p", "q")
+    rows = with_likeness(rows, "near_next", "fingerprint", "next_fingerprint", "p", "r")
+    return rows.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
