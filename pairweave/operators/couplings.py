@@ -78,7 +78,7 @@ def model_probabilities(freq2: DataFrame, couplings: DataFrame, regularisation)
     return rows.groupBy("protein", "i", "j").agg(F.first("residues").alias("residues"), F.transform(F.sort_array(F.collect_list(F.struct("ab", q.alias("q")))), lambda x: x["q"]).alias("q"))
 
 
-def sound_probabilities(q: DataFrame) -> DataFrame:
+def sound_probabilities(q: DataFrame, tolerance: float = 1e-3) -> DataFrame:
     """Pairs whose probabilities add up to 1, none negative, with one sequence at least."""
     total = F.aggregate("q", F.lit(0.0), lambda s, v: s + v)
-    return q.filter((F.abs(1 - total) <= 1e-3) & (F.array_min("q") >= 0) & (F.col("residues") >= 1))
+    return q.filter((F.abs(1 - total) <= tolerance) & (F.array_min("q") >= 0) & (F.col("residues") >= 1))
