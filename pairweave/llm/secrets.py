@@ -222,12 +222,12 @@ MASK = "[SECRET]"
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of a secret replaced by MASK; overlapping spans by one."""
     limits = thresholds(scanned(docs.select("text")))
-    out = scanned(docs).withColumn("_spans", F.expr(f"sort_array(concat(base, {accepted(limits)}))"))
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # so that no column of the documents clashes
+    out = scanned(whole).withColumn("_spans", F.expr(f"sort_array(concat(base, {accepted(limits)}))"))
     start = "named_struct('at', 0, 'out', '')"
     merge = f"(a_, x) -> CASE WHEN x.start >= a_.at THEN named_struct('at', x.stop, 'out', concat(a_.out, substring(text, a_.at + 1, x.start - a_.at), '{MASK}')) ELSE named_struct('at', greatest(a_.at, x.stop), 'out', a_.out) END"
     text = f"CASE WHEN size(_spans) = 0 THEN text ELSE aggregate(_spans, {start}, {merge}, a_ -> concat(a_.out, substring(text, a_.at + 1))) END"
-    new = {"text": F.expr(text)}
-    out = out.withColumn("_new", new["text"]).select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out = out.withColumn("_new", F.expr(text)).select(*[F.col("_new").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

@@ -58,8 +58,9 @@ def test_cases(spark):
 
 
 def test_redact(spark):
-    rows = [(1, "a password=abcdefghijkl0 é", 0), (2, "clean text", 0), (3, None, 0), (4, "secret=0123456789abcdef0123 end", 0)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int")
+    rows = [(1, "a password=abcdefghijkl0 é", 0, "b"), (2, "clean text", 0, "b"), (3, None, 0, None), (4, "secret=0123456789abcdef0123 end", 0, "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, base string")
+    assert [r.base for r in S.redact(docs).orderBy("doc_id").collect()] == ["b", "b", None, "b"]
     out = {r.doc_id: r for r in S.redact(docs).collect()}
     assert out[1].text == "a [SECRET] é" and out[2].text == "clean text" and out[3].text == "" and out[4].text == "[SECRET] end"
     assert out[1].n_chars == 12 and S.redact(docs).schema["n_chars"].dataType == docs.schema["n_chars"].dataType and S.redact(docs).columns == docs.columns
