@@ -54,7 +54,7 @@ BOUND = CHUNKS * (ERRORS + 1) - 1
 #: Pairs that agree in fewer positions are not worth a look at their sets: at a similarity of 0.75 one in 100,000.
 LEAST_EQUAL = 9
 #: A sketch has 8 bits of each of SKETCH more hash functions; at a similarity of 0.75 fewer than LEAST_SKETCH agree in one of 100,000 pairs.
-SKETCH, LEAST_SKETCH = 512, 341
+SKETCH, LEAST_SKETCH = 1024, 708
 #: Members of a bucket, and shingles of the sets of a hub, that one task holds at a time (twice these, where blocks meet).
 BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
 #: Up to so many documents, those to be read again are sent to the scan; beyond, the texts are shuffled.
