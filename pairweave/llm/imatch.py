@@ -41,7 +41,7 @@ SUBSETS = PER_RATE * len(RATES)
 DIGITS = 8
 #: Lexicons of more terms are joined by a shuffle.
 MOST_SENT = 400_000
-ROWS_PER_RANGE = 1000
+ROWS_PER_RANGE = 256
 
 
 def terms(text: Column) -> Column:
