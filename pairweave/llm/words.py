@@ -43,6 +43,11 @@ def _power(n: int, base: int, name: str) -> np.ndarray:
     return have[:n]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse, modulo 2**64."""
+    return _power(n, _BASE, "up"), _power(n, pow(_BASE, -1, 1 << 64), "down")
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """c with c[i] = sum of value(byte j) * base**j for j < i, modulo 2**64."""
     out = np.zeros(len(data) + 1, np.uint64)
