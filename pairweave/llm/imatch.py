@@ -12,7 +12,8 @@ The band is a share of all documents from below, so the lexicon has at most
 there are; it is sent to the scan behind a check of its size.
 
 A text's neighbour in the order of ``doc_id`` comes from windows over ranges of
-ids, whose outer rows are joined; no task sees all rows.
+ids, whose outer rows are joined; no task sees all rows. Rows without ``doc_id``
+are one range.
 
 Cases: a null text is empty; an empty text, or one without terms of the lexicon,
 has the digest of the whole text as its fingerprint; texts are worked on whole;
@@ -24,6 +25,8 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -42,6 +45,8 @@ DIGITS = 8
 #: Lexicons of more terms are joined by a shuffle.
 MOST_SENT = 400_000
 ROWS_PER_RANGE = 256
+#: Quantiles that cut the ids into ranges before; and bits of a range's number that count inside of one.
+RANGES, UPPER = 500, 40
 
 
 def terms(text: Column) -> Column:
@@ -58,23 +63,46 @@ def lexicon(docs: DataFrame) -> DataFrame:
     return count.filter((F.col("count") * LEAST >= n) & (F.col("count") * MOST <= n)).select("term", parts.alias("parts"))
 
 
+def spans(rows: DataFrame) -> Column:
+    """A number for ranges of about ROWS_PER_RANGE rows, ascending with doc_id; -1 for nulls.
+
+    RANGES quantiles cut the ids, so that a far id moves no others together;
+    between two quantiles ranges are equally wide. The upper bits say between which.
+    """
+    n, low = rows.agg(F.count("doc_id"), F.min("doc_id")).first()
+    if not n:
+        return F.lit(-1).cast("long")
+    cuts = rows.approxQuantile("doc_id", [i / RANGES for i in range(1, RANGES + 1)], 0.2 / RANGES)
+    edges = sorted({low, *(int(x) for x in cuts if x > low)})
+    each = max(1, n // len(edges) // ROWS_PER_RANGE)  # ranges between two quantiles
+    width = [max(1, -(-(y - x) // each)) for x, y in zip(edges, [*edges[1:], edges[-1] + 1])]
+    step = math.isqrt(len(edges)) + 1
+    groups = [edges[i : i + step] for i in range(0, len(edges), step)]
+    of = lambda values: F.array(*[F.lit(x).cast("long") for x in values])
+    group = F.size(F.filter(of([g[0] for g in groups]), lambda x: x <= F.col("doc_id")))
+    inside = F.size(F.filter(F.element_at(F.array(*[of(g) for g in groups]), group), lambda x: x <= F.col("doc_id")))
+    k = (group - 1) * step + inside
+    place = F.least(F.floor((F.col("doc_id") - F.element_at(of(edges), k)) / F.element_at(of(width), k)), F.lit((1 << UPPER) - 1))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.shiftleft(k.cast("long"), UPPER) + place).cast("long")
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """(doc_id, text, next_text, span, place, next_span, next_place): each row with the next one in descending order of doc_id, around to the first; (span, place) is unique."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    width = 1 if low is None else max(1, -(-(high - low + 1) * ROWS_PER_RANGE // n))
-    span = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.expr(f"(doc_id - {low or 0}) div {width}")).cast("long")
+    span = spans(rows)
+    dealt = rows.withColumn("span", span).repartition("span")  # the one shuffle of texts
     ordered = Window.partitionBy("span").orderBy("doc_id", "text")
-    placed = rows.withColumn("span", span).select("*", F.row_number().over(ordered).alias("place"), F.lag("text").over(ordered).alias("below"))
-    # The last row of each range is the next document of the range above.
-    counts = rows.groupBy(span.alias("span")).agg(F.count(F.lit(1)).cast("int").alias("rows"), F.max("doc_id").alias("top_id"))
-    around = Window.orderBy("span")  # a row for each ROWS_PER_RANGE documents
-    first = F.struct("span", "rows", "top_id")
-    heads = counts.select("span", F.coalesce(F.lag(first).over(around), F.last(first).over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("x"))
-    heads = heads.select(F.col("span").alias("at"), F.col("x.span").alias("next_span"), F.col("x.rows").alias("next_place"), F.col("x.top_id").alias("top_id"))
-    tops = rows.join(heads.select("top_id", "next_span").distinct().withColumnsRenamed({"top_id": "t", "next_span": "s"}), F.col("doc_id").eqNullSafe(F.col("t")) & (span == F.col("s"))).groupBy("s").agg(F.max("text").alias("top_text"))
-    heads = heads.join(tops, F.col("next_span") == F.col("s")).select("at", "next_span", "next_place", "top_text")
-    joined = placed.join(heads, (F.col("span") == F.col("at")) & (F.col("place") == 1), "left")
+    placed = dealt.select("*", F.row_number().over(ordered).alias("place"), F.lag("text").over(ordered).alias("below"))
+    # The last row of each range is the next document of the first row of the range above.
+    last = F.struct("doc_id", "text")
+    tops = dealt.groupBy("span").agg(F.max(last).alias("x"), F.count(F.lit(1)).cast("int").alias("rows")).select(F.col("span").alias("next_span"), F.col("rows").alias("next_place"), F.col("x.text").alias("top_text"))
+    ids = rows.select(span.alias("span")).groupBy("span").agg(F.lit(0).alias("one")).withColumn("part", F.shiftright("span", UPPER))
+    parts = ids.groupBy("part").agg(F.max("span").alias("highest"))  # RANGES + 1 rows at most
+    around, whole = Window.orderBy("part"), Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    parts = parts.select(F.col("part").alias("p"), F.coalesce(F.lag("highest").over(around), F.last("highest").over(whole)).alias("before"))
+    heads = ids.join(F.broadcast(parts), F.col("part") == F.col("p")).select(F.col("span").alias("at"), F.coalesce(F.lag("span").over(Window.partitionBy("part").orderBy("span")), "before").alias("below_span"))
+    heads = heads.join(tops, F.col("below_span") == F.col("next_span")).select("at", "next_span", "next_place", "top_text")
+    joined = placed.join(heads.hint("merge"), (F.col("span") == F.col("at")) & (F.col("place") == 1), "left")
     inside = F.col("place") > 1
     return joined.select(
         "doc_id", "text", F.when(inside, F.col("below")).otherwise(F.col("top_text")).alias("next_text"), "span", "place",
