@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,7 +10,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,11 +17,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or, where that is unset (tests), below a folder of this machine."""
+    """A new folder that driver and executors share: below ``spark.checkpoint.dir``, or, where that is unset and Spark runs on this machine alone (tests), below a folder of it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pairweave-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/pairweave-{uuid.uuid4().hex}"
@@ -34,15 +36,6 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def n_parts(df: DataFrame) -> int:
-    """Partitions for a shuffle whose operator fixes the count itself: the session's setting."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name), F.lit(""))
-
-
 class Texts:
     """The texts of an Arrow string column as one byte array. Null texts are empty."""
 

@@ -21,7 +21,8 @@ A bucket (the documents of one key) never gives all its pairs as rows:
     hub, so that a set travels once for each hub and not once for each pair.
 
 So every pair within the distance bound is confirmed or refuted on its sets, or
-joined through other links already. Documents of equal shingle sets are one node
+joined through other links already, but for those that the sketches of step 3 rule
+out: one in 100,000 of the pairs at a similarity of 0.75, fewer above. Documents of equal shingle sets are one node
 throughout.
 
 Cases: a null or empty text, or one without words, has no shingles and is in no
@@ -43,6 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from pairweave.llm.common import Texts, stored
 from pairweave.llm.words import mix, shingles, words
@@ -55,8 +57,8 @@ BOUND = CHUNKS * (ERRORS + 1) - 1
 LEAST_EQUAL = 9
 #: A sketch has 8 bits of each of SKETCH more hash functions; at a similarity of 0.75 fewer than LEAST_SKETCH agree in one of 100,000 pairs.
 SKETCH, LEAST_SKETCH = 1024, 708
-#: Members of a bucket, and shingles of the sets of a hub, that one task holds at a time (twice these, where blocks meet).
-BLOCK, BLOCK_SHINGLES = 4096, 2_000_000
+#: Members of a bucket, and about how many shingles of a hub's partners, that one task holds at a time (twice these, where blocks meet).
+BLOCK, BLOCK_SHINGLES = 4096, 50_000
 #: Up to so many documents, those to be read again are sent to the scan; beyond, the texts are shuffled.
 MOST_SENT = 200_000
 
@@ -136,21 +138,21 @@ def bucket_keys(nodes: DataFrame) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b, hub), hub being a, whose sizes allow the similarity and whose signatures agree in LEAST_EQUAL positions."""
+    """The pairs (a, b, hub, n), hub being a, whose sizes allow the similarity and whose signatures agree in LEAST_EQUAL positions."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 equal = (_symbols(b.column("sig_a")) == _symbols(b.column("sig_b"))).sum(axis=1)
                 near = pa.array(equal >= LEAST_EQUAL)
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("a", "b", "a")], ["a", "b", "hub"])
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(near) for c in ("a", "b", "a", "n_b")], ["a", "b", "hub", "n"])
 
     both = (
         pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")), "a")
         .join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b")), "b")
         .filter("100 * least(n_a, n_b) >= 75 * greatest(n_a, n_b)")
     )
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long, hub long")
+    return both.select("a", "b", "n_b", "sig_a", "sig_b").mapInArrow(work, "a long, b long, hub long, n long")
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -180,7 +182,7 @@ def _dealt(rows: DataFrame, count: Column, node: str = "node") -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` (a, b, hub) whose sets have a similarity of 0.75 or more."""
+    """The pairs (a, b) of ``pairs`` (a, b, hub, n: shingles of b) whose sets have a similarity of 0.75 or more."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -199,12 +201,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                     found.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else ((), ()))], ["a", "b"])
 
-    ends = pairs.select("hub", F.col("a").alias("node")).union(pairs.select("hub", F.col("b").alias("node"))).distinct().join(sets.select("node", "shingles"), "node")
-    count = ends.groupBy("hub").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK_SHINGLES).alias("count"))
-    held = _dealt(ends.join(count, "hub"), F.col("count")).select("hub", "p", "q", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    # A group (hub, p, q) holds the sets of two blocks of the hub's partners, and a star's groups one block each and the hub.
+    many = F.sum("n") / BLOCK_SHINGLES
+    count = pairs.groupBy("hub").agg(F.ceil(F.when(F.bool_and(F.col("a") == F.col("hub")), many).otherwise(F.sqrt(2 * many))).alias("count"))
     own = pairs.join(count, "hub").withColumn("x", _blocks("a", F.col("count"))).withColumn("y", _blocks("b", F.col("count")))
-    asked = own.select("hub", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b", F.lit(None).cast("array<long>").alias("shingles"))
-    both = held.union(asked).repartition("hub", "p", "q").sortWithinPartitions("hub", "p", "q", F.col("b").asc_nulls_first())
+    own = stored(own.select("hub", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "a", "b"))
+    group = ["hub", "p", "q"]
+    ends = own.select(*group, F.col("a").alias("node")).union(own.select(*group, F.col("b").alias("node"))).distinct()
+    held = ends.join(sets.select("node", "shingles"), "node").select(*group, F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    both = held.union(own.withColumn("shingles", F.lit(None).cast("array<long>"))).repartition(*group).sortWithinPartitions(*group, F.col("b").asc_nulls_first())
     return both.mapInArrow(work, "a long, b long").distinct()
 
 
@@ -327,18 +332,18 @@ def _central(rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, hub): near pairs of different roots that share a bucket; ``rows``: (key, node, hub, root, size)."""
+    """(a, b, hub, n): near pairs of different roots that share a bucket; ``rows``: (key, node, hub, root, size)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "p", "q", "node", "hub", "root", "own", "n_shingles"]
         for x, (sig, sketches) in _grouped(batches, 3, names, [("sig", np.uint16, POSITIONS), ("sketch", np.uint8, SKETCH)]):
             a, b = near_in_bucket(int(x[0, 0]) & 63, sig, sketches, x[7], x[5], x[6], x[1, 0] != x[2, 0], x[3] == x[4])
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[3, a], x[3, b], x[4, a])], ["a", "b", "hub"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (x[3, a], x[3, b], x[4, a], x[7, b])], ["a", "b", "hub", "n"])
 
     members = rows.join(nodes.select("node", "n_shingles", "sig"), "node").join(sets.select("node", "sketch"), "node")
     dealt = _dealt(members, F.ceil(F.col("size") / BLOCK))
-    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(work, "a long, b long, hub long")
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(work, "a long, b long, hub long, n long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -354,7 +359,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(keys.join(shared, "key"))
     near = nodes.join(members.select("node").distinct(), "node").select("node", "doc_id", "digest")
     sets = stored(_whole_sets(docs, near))
-    edges = stored(_confirmed(_alike(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes), sets))
+    edges = stored(_confirmed(stored(_alike(members.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), nodes)), sets))
     joined = components(edges)
 
     def mixed() -> DataFrame:
@@ -374,9 +379,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that a smaller ``doc_id`` of their group stands for; of rows that repeat a kept ``doc_id``, one stays."""
-    found = near_duplicates(docs)
-    gone = found.filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = found.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    return left if repeated.isEmpty() else left.filter("doc_id is null").unionByName(left.filter("doc_id is not null").dropDuplicates(["doc_id"]))
+    """The rows of ``docs`` without those that a smaller ``doc_id`` of their group stands for; of rows of a kept ``doc_id`` with equal shingle sets, one stays."""
+    found = stored(near_duplicates(docs).filter("doc_id is not null").select("doc_id", "digest", "kept"))
+    ids = stored(found.groupBy(F.col("doc_id").alias("_id")).agg(F.bool_or("kept").alias("any"), F.count(F.lit(1)).alias("n")))
+    gone = ids.filter("not any").select("_id")
+    left = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    several = ids.filter("any and n > 1").select("_id")
+    if several.isEmpty():
+        return left
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in _sets(b.column("row").field("text"))]
+            yield pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), pa.array(digest, pa.binary())], ["row", "id", "digest"])
+
+    # Ids of several rows are judged row by row.
+    again = left.join(several, left["doc_id"] == several["_id"], "left_semi").select(F.struct(*[left[c] for c in docs.columns]).alias("row"), left["doc_id"].cast("long").alias("id"))
+    schema = StructType([*again.schema.fields, StructField("digest", BinaryType())])
+    kept = found.filter("kept").select(F.col("doc_id").alias("id"), "digest").distinct()
+    again = again.mapInArrow(work, schema).join(kept, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("row.*")
+    return left.join(several, left["doc_id"] == several["_id"], "left_anti").unionByName(again)

@@ -103,6 +103,17 @@ def test_keep_one(spark):
     assert M.near_duplicates(docs.limit(0)).count() == 0 and M.keep_one(docs.limit(0)).count() == 0
 
 
+def test_keep_one_judges_rows_of_one_id_by_their_texts(spark):
+    r = random.Random(12)
+    a, b, c, d = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(5, a), (5, b), (6, c), (6, c), (7, b + " more"), (7, d), (8, None), (8, ""), (8, "short"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "v", "w", "x") for i, t in rows], "doc_id long, text string, _id string, row string, digest string")
+    kept = M.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted((-1 if x.doc_id is None else x.doc_id, x.text or "") for x in kept.collect())
+    assert got == sorted([(-1, a), (5, a), (5, b), (6, c), (7, d), (8, ""), (8, "short")])
+
+
 def test_first_choice():
     r = random.Random(3)
     for _ in range(300):
