@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from pairweave.functions import scalars as C
+from pairweave.functions.scratch import stored
 from pairweave.operators import alignment as A
 from pairweave.operators import evaluation as E
 from pairweave.operators import information as I
@@ -26,6 +29,36 @@ def weights(spark, d):
     return A.sequence_weights(alignment(spark, d), CUTOFF, ignore_gaps=True)
 
 
+class Shared:
+    """Tables that a query uses several times, each made and written once."""
+
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
+
+    @cached_property
+    def weights(self):
+        return stored(weights(self.spark, self.d))
+
+    @cached_property
+    def neff(self):
+        return A.effective_number(self.weights)
+
+    @cached_property
+    def single(self):
+        return stored(A.frequencies(A.single_counts(long(self.spark, self.d), self.weights), self.neff))
+
+    @cached_property
+    def counts2(self):
+        return stored(A.pair_counts(long(self.spark, self.d), self.weights))
+
+    @cached_property
+    def freq2(self):
+        return A.pair_frequencies(self.counts2, self.single, self.neff)
+
+    def with_apc(self, scores):
+        return I.average_product(stored(scores), A.lengths(alignment(self.spark, self.d)))
+
+
 def counts(spark, d):
     return A.single_counts(long(spark, d), weights(spark, d))
 
@@ -38,14 +71,6 @@ def single(spark, d):
     return A.frequencies(counts(spark, d), neff(spark, d))
 
 
-def counts2(spark, d):
-    return A.pair_counts(long(spark, d), weights(spark, d))
-
-
-def freq2(spark, d):
-    return A.pair_frequencies(counts2(spark, d), single(spark, d), neff(spark, d))
-
-
 AL = """WITH al AS (SELECT label AS protein, vec_id AS seq_id, list_transform(embedding, lambda e: CAST(greatest(0, least(20, floor((e::DOUBLE + 0.3::DOUBLE) * 35))) AS INT)) AS states FROM embeddings),
 cell AS (SELECT protein, seq_id, unnest(range(len(states))) AS pos, unnest(states) AS state FROM al)"""
 IDS = AL + """, ids AS (SELECT a.protein, a.seq_id AS a, b.seq_id AS b, len(a.states) AS length, len(list_filter(list_zip(a.states, b.states), lambda z: z[1] = z[2])) AS ids,
@@ -151,12 +176,14 @@ def agg2_single_counts(spark, d):
 
 @query(C2 + "SELECT protein, i, j, a, b, round(n, 6) + 0.0 AS n FROM c2")
 def agg3_pair_counts(spark, d):
-    return rounded(counts2(spark, d), "n")
+    t = Shared(spark, d)
+    return rounded(t.counts2, "n")
 
 
 @query(C2 + "SELECT protein, i, j, round(residues, 6) + 0.0 AS residues FROM t2")
 def agg7_residue_numbers(spark, d):
-    return rounded(A.residue_numbers(counts2(spark, d), ["protein", "i", "j"], ["a", "b"]), "residues")
+    t = Shared(spark, d)
+    return rounded(A.residue_numbers(t.counts2, ["protein", "i", "j"], ["a", "b"]), "residues")
 
 
 @query(G + ", x AS (SELECT protein, avg(gap_fraction) AS g FROM g GROUP BY 1), k AS (SELECT protein, max(len(states)) AS length, count(*) AS n FROM al GROUP BY 1) SELECT protein, CAST(length AS INT) AS length, n, round(sqrt(n) / length, 6) + 0.0 AS diversity, round(g, 6) + 0.0 AS gap_fraction FROM k JOIN x USING (protein)")
@@ -172,7 +199,8 @@ def agg9_frequencies(spark, d):
 
 @query(F2 + "SELECT protein, i, j, round(sum(f2), 6) + 0.0 AS total, round(max(f2), 6) + 0.0 AS greatest_, round(min(f2), 6) + 0.0 AS least_ FROM f2 GROUP BY ALL")
 def agg9_pair_frequencies(spark, d):
-    out = freq2(spark, d).groupBy("protein", "i", "j").agg(F.sum("f2").alias("total"), F.max("f2").alias("greatest_"), F.min("f2").alias("least_"))
+    t = Shared(spark, d)
+    out = t.freq2.groupBy("protein", "i", "j").agg(F.sum("f2").alias("total"), F.max("f2").alias("greatest_"), F.min("f2").alias("least_"))
     return rounded(out, "total", "greatest_", "least_")
 
 
@@ -209,7 +237,8 @@ def agg13_entropy_with_gaps(spark, d):
 
 @query(C2 + "SELECT protein, i, j, round(sum(-p * log2(p)), 6) + 0.0 AS entropy FROM (SELECT protein, i, j, n / sum(n) OVER (PARTITION BY protein, i, j) AS p FROM c2) GROUP BY ALL")
 def agg15_joint_entropy(spark, d):
-    return rounded(I.entropies(counts2(spark, d), ["protein", "i", "j"], gaps=True), "entropy")
+    t = Shared(spark, d)
+    return rounded(I.entropies(t.counts2, ["protein", "i", "j"], gaps=True), "entropy")
 
 
 BG = "(SELECT unnest(range(20)) AS a, unnest([" + ", ".join(f"{x}::DOUBLE" for x in I.BACKGROUND) + "]) AS q)"
@@ -222,14 +251,16 @@ def agg16_divergences(spark, d):
 
 @query(MI + apc_sql("mi") + "SELECT protein, i, j, round(score, 6) + 0.0 AS score, round(apc, 6) + 0.0 AS apc FROM apc")
 def agg17_mutual_information_apc(spark, d):
-    scores = I.mutual_information(freq2(spark, d))
-    return rounded(I.average_product(scores, A.lengths(alignment(spark, d))), "score", "apc").drop("apc_term")
+    t = Shared(spark, d)
+    scores = I.mutual_information(t.freq2)
+    return rounded(t.with_apc(scores), "score", "apc").drop("apc_term")
 
 
 @query(MI + ", je AS (SELECT protein, i, j, sum(-p * log2(p)) AS entropy FROM (SELECT protein, i, j, n / sum(n) OVER (PARTITION BY protein, i, j) AS p FROM c2) GROUP BY ALL) SELECT protein, i, j, round(score / entropy, 6) + 0.0 AS normalized FROM mi JOIN je USING (protein, i, j)")
 def agg18_normalized_mi(spark, d):
-    joint = I.entropies(counts2(spark, d), ["protein", "i", "j"], gaps=True)
-    return I.mutual_information(freq2(spark, d)).join(joint, ["protein", "i", "j"]).select("protein", "i", "j", r6(F.col("score") / F.col("entropy")).alias("normalized"))
+    t = Shared(spark, d)
+    joint = I.entropies(t.counts2, ["protein", "i", "j"], gaps=True)
+    return I.mutual_information(t.freq2).join(joint, ["protein", "i", "j"]).select("protein", "i", "j", r6(F.col("score") / F.col("entropy")).alias("normalized"))
 
 
 OM = C2 + ", om AS (SELECT c2.protein, c2.i, c2.j, sum(pow(n - residues * x.f_pc * y.f_pc, 2) / residues) AS score, sum(pow(n - residues * x.f_pc * y.f_pc, 2) / (residues * x.f_pc * y.f_pc)) AS kass FROM c2 JOIN t2 USING (protein, i, j) JOIN f1 x ON x.protein = c2.protein AND x.i = c2.i AND x.a = c2.a JOIN f1 y ON y.protein = c2.protein AND y.i = c2.j AND y.a = c2.b GROUP BY ALL)"
@@ -237,12 +268,14 @@ OM = C2 + ", om AS (SELECT c2.protein, c2.i, c2.j, sum(pow(n - residues * x.f_pc
 
 @query(OM + apc_sql("om") + "SELECT protein, i, j, round(score, 6) + 0.0 AS score, round(apc, 6) + 0.0 AS apc FROM apc")
 def agg19_omes_apc(spark, d):
-    return rounded(I.average_product(I.omes(counts2(spark, d), single(spark, d)), A.lengths(alignment(spark, d))), "score", "apc").drop("apc_term")
+    t = Shared(spark, d)
+    return rounded(t.with_apc(I.omes(t.counts2, t.single)), "score", "apc").drop("apc_term")
 
 
 @query(OM + "SELECT protein, i, j, round(kass, 6) + 0.0 AS score FROM om")
 def agg19_omes_expected(spark, d):
-    return rounded(I.omes(counts2(spark, d), single(spark, d), "expected"), "score")
+    t = Shared(spark, d)
+    return rounded(I.omes(t.counts2, t.single, "expected"), "score")
 
 
 PROPERTIES = "(SELECT CAST(p_size % 13 AS INT) AS property, CAST(p_partkey % 20 AS INT) AS a, avg(p_retailprice) / 1000 AS value FROM part GROUP BY ALL)"
@@ -261,8 +294,9 @@ def agg20_expected_property(spark, d):
 
 @query(F2 + f"SELECT protein, i, j, round(sum(f2 * value), 6) + 0.0 AS mean_value FROM f2 JOIN {POTENTIAL} USING (a, b) GROUP BY ALL")
 def agg21_expected_potential(spark, d):
+    t = Shared(spark, d)
     potential = table(spark, d, "part").groupBy((F.col("p_partkey") % 20).cast("int").alias("a"), (F.col("p_size") % 20).alias("b")).agg((F.avg("p_retailprice") / 1000).alias("value"))
-    return rounded(I.expected_potential(freq2(spark, d), potential), "mean_value")
+    return rounded(I.expected_potential(t.freq2, potential), "mean_value")
 
 
 @query(AL + f", v AS (SELECT protein, seq_id, pos, property, value FROM cell JOIN {PROPERTIES} ON a = state), r AS (SELECT x.protein, x.pos AS i, y.pos AS j, x.property, CASE WHEN stddev_pop(x.value) > 0 AND stddev_pop(y.value) > 0 THEN corr(x.value, y.value) END AS r FROM v x JOIN v y ON x.protein = y.protein AND x.seq_id = y.seq_id AND x.property = y.property AND x.pos < y.pos GROUP BY ALL) SELECT protein, i, j, " + ", ".join(f"round(max(r) FILTER (property = {k}), 6) + 0.0 AS r_{k}" for k in range(13)) + " FROM r GROUP BY ALL")
@@ -292,31 +326,35 @@ def sca8_pssm(spark, d):
 @query(MI + """, u AS (SELECT protein, i, sum(-f_pc * log2(f_pc)) AS u, sum(pow(f_pc * log2(f_pc), 2)) AS v FROM f1 GROUP BY ALL), s AS (SELECT mi.protein, mi.i, mi.j, score, x.u * y.u AS e FROM mi JOIN u x ON x.protein = mi.protein AND x.i = mi.i JOIN u y ON y.protein = mi.protein AND y.i = mi.j),
 vv AS (SELECT protein, pow(sum(v), 2) AS vv FROM u GROUP BY 1), eta AS (SELECT protein, 2 * sum(score * score * e) / any_value(vv) AS eta FROM s JOIN vv USING (protein) GROUP BY ALL) SELECT protein, i, j, round(score * score - eta * e, 6) + 0.0 AS corrected, round(eta, 6) + 0.0 AS eta FROM s JOIN eta USING (protein)""")
 def cor1_entropy_correction(spark, d):
+    t = Shared(spark, d)
     from pairweave.operators import couplings as K
 
-    norms = I.mutual_information(freq2(spark, d)).withColumnRenamed("score", "norm")
-    return rounded(K.entropy_correction(norms, K.entropy_terms(single(spark, d)), squared=True), "corrected", "eta").select("protein", "i", "j", "corrected", "eta")
+    norms = I.mutual_information(t.freq2).withColumnRenamed("score", "norm")
+    return rounded(K.entropy_correction(norms, K.entropy_terms(t.single), squared=True), "corrected", "eta").select("protein", "i", "j", "corrected", "eta")
 
 
 @query(MI + ", je AS (SELECT protein, i, j, sum(CASE WHEN f2 > 0 THEN -f2 * log2(f2) ELSE 0 END) AS h FROM f2 GROUP BY ALL) SELECT protein, i, j, round(score / (h + exp(-h)), 6) + 0.0 AS scaled FROM mi JOIN je USING (protein, i, j)")
 def cor4_joint_entropy_scaling(spark, d):
+    t = Shared(spark, d)
     from pairweave.operators import couplings as K
 
-    f2 = freq2(spark, d)
+    f2 = t.freq2
     return rounded(K.joint_entropy_scaling(I.mutual_information(f2).withColumnRenamed("score", "norm"), I.joint_entropies(f2)), "scaled").select("protein", "i", "j", "scaled")
 
 
 @query(MI + ", je AS (SELECT protein, i, j, sum(CASE WHEN f2 > 0 THEN -f2 * log2(f2) ELSE 0 END) AS h FROM f2 GROUP BY ALL), eta AS (SELECT protein, sum(score * h) / sum(h * h) AS eta FROM mi JOIN je USING (protein, i, j) GROUP BY ALL) SELECT protein, i, j, round(score - eta * h, 6) + 0.0 AS corrected FROM mi JOIN je USING (protein, i, j) JOIN eta USING (protein)")
 def cor3_joint_entropy_correction(spark, d):
+    t = Shared(spark, d)
     from pairweave.operators import couplings as K
 
-    f2 = freq2(spark, d)
+    f2 = t.freq2
     return rounded(K.joint_entropy_correction(I.mutual_information(f2).withColumnRenamed("score", "norm"), I.joint_entropies(f2), 1.0), "corrected").select("protein", "i", "j", "corrected")
 
 
 @query(MI + apc_sql("mi") + ", u AS (SELECT protein, i, sum(-f_pc * log2(f_pc)) AS u FROM f1 GROUP BY ALL) SELECT apc.protein, round(corr(apc_term, x.u * y.u), 6) + 0.0 AS r FROM apc JOIN u x ON x.protein = apc.protein AND x.i = apc.i JOIN u y ON y.protein = apc.protein AND y.i = apc.j GROUP BY ALL")
 def agg41_apc_against_entropy(spark, d):
+    t = Shared(spark, d)
     from pairweave.operators import couplings as K
 
-    apc = I.average_product(I.mutual_information(freq2(spark, d)), A.lengths(alignment(spark, d)))
-    return K.with_pair_terms(apc, K.entropy_terms(single(spark, d))).groupBy("protein").agg(r6(F.corr("apc_term", "e")).alias("r"))
+    apc = t.with_apc(I.mutual_information(t.freq2))
+    return K.with_pair_terms(apc, K.entropy_terms(t.single)).groupBy("protein").agg(r6(F.corr("apc_term", "e")).alias("r"))

@@ -63,7 +63,7 @@ def fil13_strong_contacts(spark, d):
 
 @query(L.F2 + "SELECT f2.protein, a, b, count(*) AS n FROM f2 JOIN t2 USING (protein, i, j) WHERE greatest(pi_ * pj, f2) * residues > 1 GROUP BY ALL")
 def fil14_evidence(spark, d):
-    return X.evidence(L.freq2(spark, d), 1.0).groupBy("protein", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    return X.evidence(L.Shared(spark, d).freq2, 1.0).groupBy("protein", "a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(Y.P + "SELECT protein, i, j FROM d WHERE d > 8 AND d <= 12 AND j - i >= 6")
@@ -88,13 +88,13 @@ def join10_annotations(spark, d):
 
 @query(L.F2 + ", x AS (SELECT f2.protein, f2, pi_ * pj AS e, coalesce(c2.n, 0) / residues AS o FROM f2 JOIN t2 USING (protein, i, j) LEFT JOIN c2 ON c2.protein = f2.protein AND c2.i = f2.i AND c2.j = f2.j AND c2.a = f2.a AND c2.b = f2.b) SELECT protein, round(corr(f2, e), 6) + 0.0 AS r_independent, round(corr(o, f2), 6) + 0.0 AS r_pairs FROM x GROUP BY 1")
 def agg39_model_agreement(spark, d):
-    return rounded(X.agreement_with_model(L.freq2(spark, d)), "r_independent", "r_pairs")
+    return rounded(X.agreement_with_model(L.Shared(spark, d).freq2), "r_independent", "r_pairs")
 
 
 @query(L.F2 + ", m AS (SELECT protein, i, j, f2 - (f2 - pi_ * pj) * 2 / residues AS q, residues FROM f2 JOIN t2 USING (protein, i, j)) SELECT protein, i, j, round(sum(q), 6) + 0.0 AS total, round(min(q), 6) + 0.0 AS least FROM m GROUP BY protein, i, j, residues HAVING abs(1 - sum(q)) <= 0.5 AND min(q) >= 0 AND residues >= 1")
 def cor8_model_probabilities(spark, d):
     """Shares less covariances over the numbers of pairs; only sound ones."""
-    f2 = L.freq2(spark, d)
+    f2 = L.Shared(spark, d).freq2
     q = K.model_probabilities(f2, X.covariance_couplings(f2), F.lit(2.0))
     out = K.sound_probabilities(q, 0.5).select("protein", "i", "j", F.aggregate("q", F.lit(0.0), lambda s, v: s + v).alias("total"), F.array_min("q").alias("least"))
     return rounded(out, "total", "least")
