@@ -9,6 +9,11 @@ as one that leads nowhere, so each place is given up once at most. Two tokens
 are compatible if merging their joined bytes gives back just these two. A
 sequence whose neighbours are all compatible is what the merges would give.
 Compatibility is memoised for each pair of tokens, and encodings of pieces too.
+
+Where a pattern's pieces hold white space at their beginning only (one space)
+or are white space, a text is first cut before each space and at white space
+by a plain pattern. Such a chunk holds whole pieces, so its ids are memoised
+too, and the dearer pattern is asked for new chunks only.
 """
 
 from __future__ import annotations
@@ -46,6 +51,18 @@ def splitter(pattern: str) -> re.Pattern:
     return re.compile(inside.replace(r"\S", f"[^{space}]"))
 
 
+#: Alternatives that can't go past white space, but for one space before; and what must follow them.
+BOUND, SPACES = re.compile(r"'\w+| \?(?:\\p\{\w+\}|\[\^\\s[^\]|]*\])\+"), r"\s+(?!\S)|\s+"
+
+
+def chunker(pattern: str) -> re.Pattern | None:
+    """A plain pattern whose matches hold whole matches of ``pattern``, or None where that isn't sure."""
+    head, _, tail = pattern.partition(r"|\s")
+    if r"\s" + tail != SPACES or not all(map(BOUND.fullmatch, head.split("|"))):
+        return None
+    return splitter(r" ?\S+|" + SPACES)
+
+
 def _spelled(members: str, classes: dict[str, str]) -> str:
     for short, long in classes.items():
         members = members.replace(short, long)
@@ -62,9 +79,12 @@ class Bpe:
     def __init__(self, path: str, pattern: str):
         self.ranks = load_ranks(path)
         self.split = splitter(pattern).findall
+        chunks = chunker(pattern)
+        self.chunks = chunks.findall if chunks else None
         self.token = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.token[rank] = token
+        self.less = [len(t) - 1 for t in self.token]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for token, rank in self.ranks.items():
             self.automaton.add_word(token.decode("latin-1"), rank)
@@ -72,6 +92,7 @@ class Bpe:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.packed: dict[str, bytes] = {}
+        self.chunk_ids: dict[str, bytes] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """The merges in order of rank, one by one: quadratic, for the short strings that compatibility asks about."""
@@ -96,22 +117,52 @@ class Bpe:
             known = self.whole[a] = self.merged(self.token[a]) == [a]
         return known
 
+    def greedy(self, longest: list[int]) -> tuple[list[int], int]:
+        """The longest match at every place as long as neighbours are compatible, and where that ends."""
+        pairs, less, n = self.pairs, self.less, len(longest)
+        last = longest[0]
+        if last < 0 or not self.reachable(last):
+            return [], 0
+        out = [last]
+        at = less[last] + 1
+        while at < n:
+            rank = longest[at]
+            if rank < 0:
+                break
+            known = pairs.get((last, rank))
+            if not (self.compatible(last, rank) if known is None else known):
+                break
+            out.append(rank)
+            at += less[rank] + 1
+            last = rank
+        return out, at
+
     def encode_piece(self, data: bytes) -> list[int]:
         if (rank := self.ranks.get(data)) is not None:
             return [rank]
-        n, token = len(data), self.token
+        n, less = len(data), self.less
+        found = list(self.automaton.iter(data.decode("latin-1")))
+        longest = [-1] * n
+        for end, rank in found:
+            longest[end - less[rank]] = rank  # ends ascend, so the longest comes last
+        out, at = self.greedy(longest)
+        if at == n:
+            return out
         begins: list[list[int]] = [[] for _ in range(n)]
-        for end, rank in self.automaton.iter(data.decode("latin-1")):
-            begins[end + 1 - len(token[rank])].append(rank)  # ends ascend, so the longest comes last
-        out: list[int] = []
+        for end, rank in found:
+            begins[end - less[rank]].append(rank)
         tried: list[int] = []  # for each token of ``out``: how many of its place's choices are left
+        place = 0
+        for rank in out:
+            tried.append(len(begins[place]) - 1)
+            place += less[rank] + 1
         dead = bytearray(n + 1)
-        at, left = 0, len(begins[0])
+        left = len(begins[at])
         while at < n:
             while left:
                 left -= 1
                 rank = begins[at][left]
-                end = at + len(token[rank])
+                end = at + less[rank] + 1
                 if not dead[end] and (self.compatible(out[-1], rank) if out else self.reachable(rank)):
                     out.append(rank)
                     tried.append(left)
@@ -121,7 +172,7 @@ class Bpe:
                 if not out:
                     raise ValueError("no encoding: the ranks lack a byte")
                 dead[at] = 1
-                at -= len(token[out.pop()])
+                at -= less[out.pop()] + 1
                 left = tried.pop()
         return out
 
@@ -134,10 +185,24 @@ class Bpe:
             self.packed[piece] = ids
         return ids
 
-    def encode(self, text: str) -> bytes:
+    def encode_split(self, text: str) -> bytes:
         get, pack = self.packed.get, self.pack
         return b"".join([get(p) or pack(p) for p in self.split(text)])
 
+    def new_chunk(self, chunk: str) -> bytes:
+        ids = self.encode_split(chunk)
+        if len(chunk) <= LONGEST_KEPT:
+            if len(self.chunk_ids) >= MOST_PIECES:
+                self.chunk_ids.clear()
+            self.chunk_ids[chunk] = ids
+        return ids
+
+    def encode(self, text: str) -> bytes:
+        if not self.chunks:
+            return self.encode_split(text)
+        get, new = self.chunk_ids.get, self.new_chunk
+        return b"".join([get(c) or new(c) for c in self.chunks(text)])
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
