@@ -41,12 +41,9 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-#: byte_bpe_50k.json holds the vocabulary of the rank file; this is its one added token.
-ADDED = {"<|endoftext|>": 50256}
-
-
 def packed(docs: DataFrame) -> DataFrame:
-    out = tokens.pack(docs, ranks_path(), public_tokenizers.PATTERN, special=ADDED)
+    special = tokens.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
+    out = tokens.pack(docs, ranks_path(), public_tokenizers.PATTERN, special=special)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 

@@ -13,6 +13,7 @@ empty result; a null ``doc_id`` stays null; other columns are not read.
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -134,6 +135,12 @@ def section_tokens(docs: DataFrame, ranks_path: str, pattern: str, rule: str = "
 # --- operator 9 -------------------------------------------------------------
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a JSON tokenizer, whose vocabulary is that of a rank file."""
+    with open(path, encoding="utf-8") as f:
+        return {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+
+
 def binary_lengths(n: int, most: int) -> list[int]:
     """Powers of two, largest first, that add up to n; none over ``most``, itself a power of two."""
     return [most] * (n // most) + [1 << k for k in range(most.bit_length() - 2, -1, -1) if n % most >> k & 1]

@@ -9,7 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from pairweave.llm import queries, tokens
-from pairweave.llm.bpe import bpe, load_ranks
+from pairweave.llm.bpe import Bpe, bpe, load_ranks
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -76,9 +76,20 @@ def test_sections_add_up(spark, table, library):
         assert [x.n_tokens for x in rows] == want
 
 
+def test_chunks_hold_whole_pieces(library):
+    r = random.Random(8)
+    own = Bpe(RANKS, P.PATTERN)
+    assert own.chunks and not Bpe(RANKS, r"\w+|\W+").chunks
+    signs = ["a", "Zz", "é", "日本", "7", "'s", "'ll", "'", "!?", "_", " ", "  ", "\t", "\n", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "\u200b"]
+    for _ in range(3000):
+        t = "".join(r.choice(signs) for _ in range(r.randrange(12)))
+        assert [p for c in own.chunks(t) for p in own.split(c)] == own.split(t)
+        assert np.frombuffer(own.encode(t), "<u4").tolist() == library.encode_ordinary(t)
+
+
 def test_packing(spark, table):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    got = tokens.pack(table.filter("doc_id is not null").dropDuplicates(["doc_id"]), RANKS, P.PATTERN, special=queries.ADDED).collect()
+    got = tokens.pack(table.filter("doc_id is not null").dropDuplicates(["doc_id"]), RANKS, P.PATTERN, special=tokens.added_tokens(P.path("byte_bpe_50k.json"))).collect()
     assert len({g.sequence_id for g in got}) == len(got)
     by = {}
     for g in got:
