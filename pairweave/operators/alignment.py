@@ -142,6 +142,22 @@ def frequencies(counts: DataFrame, neff: DataFrame, background: DataFrame | None
     return rows.select("protein", "i", "a", "f", ((1 - tau) * F.col("f") + tau * pc).alias("f_pc"))
 
 
+def overall_shares(counts: DataFrame) -> DataFrame:
+    """(protein, a, f): weighted share of each of the 21 states, the gap among them, over all positions."""
+    total = counts.groupBy("protein", "a").agg(F.sum("n").alias("n"))
+    return total.select("protein", "a", (F.col("n") / F.sum("n").over(Window.partitionBy("protein"))).alias("f"))  # 21 rows a protein
+
+
+def frequencies_from_overall(counts: DataFrame, neff: DataFrame, weight: float = 1.0) -> DataFrame:
+    """(protein, i, a, f, f_pc) like ``frequencies``, mixed with the protein's own overall shares; weight / (neff + weight) of the mixture is theirs."""
+    dense = dense_single(counts.filter(F.col("a") < 20))
+    total = residue_numbers(counts, ["protein", "i"], ["a"])
+    rows = dense.join(total, ["protein", "i"]).join(neff, "protein").withColumn("f", F.col("n") / (F.col("residues") + 1e-10))
+    rows = rows.join(overall_shares(counts).select("protein", "a", F.col("f").alias("pc")), ["protein", "a"], "left")
+    tau = F.lit(weight) / (F.col("neff") + weight)
+    return rows.select("protein", "i", "a", "f", ((1 - tau) * F.col("f") + tau * F.coalesce("pc", F.lit(0.0))).alias("f_pc"))
+
+
 def pair_frequencies(counts2: DataFrame, single: DataFrame, neff: DataFrame) -> DataFrame:
     """(protein, i, j, a, b, f2, residues), i < j: pseudocounted shares of all 400 residue pairs, also of those that never occur."""
     inner = counts2.filter("i < j and a < 20 and b < 20")

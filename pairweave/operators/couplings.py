@@ -49,6 +49,18 @@ def entropy_correction(norm: DataFrame, terms: DataFrame, squared: bool = True)
     return pairs.join(eta(pairs, terms, squared), "protein").withColumn("corrected", c)
 
 
+def correction_detail(norm: DataFrame, terms: DataFrame, i: int, j: int, squared: bool = True) -> DataFrame:
+    """The correction of one pair of positions with what it is made of: both positions' terms, their product, the scale."""
+    one = entropy_correction(norm, terms, squared).filter((F.col("i") == i) & (F.col("j") == j))
+    at = lambda k, name: terms.filter(F.col("i") == k).select("protein", F.col("u").alias(name))
+    return one.join(at(i, "u_i"), "protein").join(at(j, "u_j"), "protein")
+
+
+def distance_class(pairs: DataFrame, contact: float) -> DataFrame:
+    """Adds ``class``: 1 below the distance ``contact``, else 0; pairs without a distance have none."""
+    return pairs.withColumn("class", (F.col("d") < contact).cast("int"))
+
+
 def joint_entropy_correction(norm: DataFrame, joint: DataFrame, factor: float) -> DataFrame:
     both = norm.join(joint, ["protein", "i", "j"]).withColumn("u", F.lit(factor) * F.col("entropy"))
     scale = both.groupBy("protein").agg((F.sum(F.col("norm") * F.col("u")) / F.sum(F.col("u") * F.col("u"))).alias("eta"))

@@ -100,3 +100,15 @@ def correlation_by_cell(rows: DataFrame, cell: list[str], value: str, *others: s
     """Correlation of values, and of their squares, with other columns."""
     square = F.col(value) * F.col(value)
     return rows.groupBy(*cell).agg(*[correlation(F.col(value), F.col(o)).alias(f"r_{o}") for o in others], *[correlation(square, F.col(o)).alias(f"r2_{o}") for o in others])
+
+
+def outermost(rows: DataFrame, name: str, value: str, n: int) -> DataFrame:
+    """The n rows of greatest and the n of least ``value`` with their side; equal values by name. Two top-n passes, no full sort."""
+    most = rows.orderBy(F.col(value).desc(), name).limit(n).withColumn("side", F.lit("most"))
+    least = rows.orderBy(F.col(value).asc(), name).limit(n).withColumn("side", F.lit("least"))
+    return most.union(least)
+
+
+def element_trace(log: DataFrame, step: str, parameter: str, vector: str, element: int) -> DataFrame:
+    """(step, parameter, value): one element of a logged vector, counted from 0; None where a vector is too short."""
+    return log.select(F.col(step).alias("step"), F.col(parameter).alias("parameter"), F.try_element_at(vector, F.lit(element + 1)).cast("double").alias("value"))

@@ -320,6 +320,13 @@ def sca8_pssm(spark, d):
     return single(spark, d).join(F.broadcast(back), "a").select("protein", "i", "a", r6(F.log2(F.col("f_pc") / F.col("q"))).alias("pssm"))
 
 
+@query(F1 + """, k AS (SELECT protein, a, sum(n) AS n FROM c1 GROUP BY 1, 2), g AS (SELECT protein, a, n / sum(n) OVER (PARTITION BY protein) AS pc FROM k)
+SELECT f1.protein, f1.i, f1.a, round(f, 6) + 0.0 AS f, round((1 - 2 / (neff + 2)) * f + 2 / (neff + 2) * coalesce(pc, 0), 6) + 0.0 AS f_pc FROM f1 JOIN neff USING (protein) LEFT JOIN g ON g.protein = f1.protein AND g.a = f1.a""")
+def agg10b_overall_pseudocounts(spark, d):
+    t = Shared(spark, d)
+    return rounded(A.frequencies_from_overall(A.single_counts(long(spark, d), t.weights), t.neff, 2.0), "f", "f_pc")
+
+
 # --- corrections: the mutual information stands for the strength of couplings ----
 
 
@@ -358,3 +365,40 @@ def agg41_apc_against_entropy(spark, d):
 
     apc = t.with_apc(I.mutual_information(t.freq2))
     return K.with_pair_terms(apc, K.entropy_terms(t.single)).groupBy("protein").agg(r6(F.corr("apc_term", "e")).alias("r"))
+
+
+UNSQUARED = MI + """, u AS (SELECT protein, i, sum(-f_pc * log2(f_pc)) AS u FROM f1 GROUP BY ALL), s AS (SELECT mi.protein, mi.i, mi.j, score, x.u AS u_i, y.u AS u_j, x.u * y.u AS e FROM mi JOIN u x ON x.protein = mi.protein AND x.i = mi.i JOIN u y ON y.protein = mi.protein AND y.i = mi.j),
+uu AS (SELECT protein, pow(sum(u), 2) AS uu FROM u GROUP BY 1), eta AS (SELECT protein, 2 * sum(score * sqrt(e)) / any_value(uu) AS eta FROM s JOIN uu USING (protein) GROUP BY ALL)"""
+
+
+def norms_and_terms(t):
+    from pairweave.operators import couplings as K
+
+    return stored(I.mutual_information(t.freq2).withColumnRenamed("score", "norm")), K.entropy_terms(t.single)
+
+
+@query(UNSQUARED + " SELECT protein, i, j, round(score - eta * sqrt(e), 6) + 0.0 AS corrected, round(eta, 6) + 0.0 AS eta FROM s JOIN eta USING (protein)")
+def cor2_unsquared_scale(spark, d):
+    from pairweave.operators import couplings as K
+
+    norms, terms = norms_and_terms(Shared(spark, d))
+    return rounded(K.entropy_correction(norms, terms, squared=False), "corrected", "eta").select("protein", "i", "j", "corrected", "eta")
+
+
+@query(UNSQUARED + " SELECT protein, i, j, round(u_i, 6) + 0.0 AS u_i, round(u_j, 6) + 0.0 AS u_j, round(e, 6) + 0.0 AS e, round(score, 6) + 0.0 AS norm, round(eta, 6) + 0.0 AS eta, round(score - eta * sqrt(e), 6) + 0.0 AS corrected FROM s JOIN eta USING (protein) WHERE i = 3 AND j = 17")
+def cor5_correction_detail(spark, d):
+    """How the correction of one pair of positions comes about, in each protein."""
+    from pairweave.operators import couplings as K
+
+    norms, terms = norms_and_terms(Shared(spark, d))
+    detail = K.correction_detail(norms, terms, 3, 17, squared=False)
+    return rounded(detail, "u_i", "u_j", "e", "norm", "eta", "corrected").select("protein", "i", "j", "u_i", "u_j", "e", "norm", "eta", "corrected")
+
+
+@query(UNSQUARED + " SELECT protein, round(neff, 6) + 0.0 AS neff, round(eta, 6) + 0.0 AS eta FROM eta JOIN neff USING (protein)")
+def cor11_scale_by_depth(spark, d):
+    from pairweave.operators import couplings as K
+
+    t = Shared(spark, d)
+    norms, terms = norms_and_terms(t)
+    return rounded(K.eta(K.with_pair_terms(norms, terms), terms, squared=False).join(t.neff, "protein"), "neff", "eta").select("protein", "neff", "eta")

@@ -132,3 +132,19 @@ def sca4_json_lookup(spark, d):
     from pairweave.functions.scalars import json_number
 
     return table(spark, d, "events").select("event_type", "user_id", json_number(F.col("props"), "$.k").alias("k"), json_number(F.col("props"), "$.missing", "$.k").alias("either"))
+
+
+FEATURES = "f AS (SELECT p_type AS feature, round(avg(p_retailprice / p_size), 6) + 0.0 AS importance FROM part GROUP BY 1)"
+
+
+@query("WITH " + FEATURES + ", r AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS top, row_number() OVER (ORDER BY importance, feature) AS low FROM f) SELECT feature, importance, 'most' AS side FROM r WHERE top <= 20 UNION ALL SELECT feature, importance, 'least' FROM r WHERE low <= 20")
+def top5_outermost_features(spark, d):
+    """Kinds of parts stand for features, price by size for importance."""
+    features = table(spark, d, "part").groupBy(F.col("p_type").alias("feature")).agg(r6(F.avg(F.col("p_retailprice") / F.col("p_size"))).alias("importance"))
+    return T.outermost(features, "feature", "importance", 20)
+
+
+@query("SELECT vec_id AS step, label AS parameter, round(embedding[8]::DOUBLE, 6) + 0.0 AS value FROM embeddings")
+def agg52_gradient_trace(spark, d):
+    """Vectors are logged gradients: one element by step and parameter."""
+    return rounded(T.element_trace(table(spark, d, "embeddings"), "vec_id", "label", "embedding", 7), "value")

@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from pairweave.functions import scalars as C
+from pairweave.functions.scratch import stored
 from pairweave.operators import bayes as B
 from pairweave.operators import couplings as K
+from pairweave.operators import information as I
 from pairweave.operators import sampling as M
 from pairweave.operators import structure as U
 from pairweave.plans.registry import query, r6, rounded, table
@@ -202,6 +204,21 @@ def agg27_weighted_score(spark, d):
     return rounded(K.weighted_score(couplings(spark, d), beta), "score")
 
 
+@query(CP + """, n AS (SELECT protein, i, j, sqrt(list_sum(list_transform(w, lambda x: x * x))) AS score FROM w), f AS (SELECT protein, i, score FROM n UNION ALL SELECT protein, j, score FROM n),
+m AS (SELECT protein, i, sum(score) / any_value(length) AS mean FROM f JOIN len USING (protein) GROUP BY ALL), o AS (SELECT protein, sum(score) / any_value(length) / any_value(length) AS overall FROM f JOIN len USING (protein) GROUP BY ALL)
+SELECT n.protein, n.i, n.j, round(score - x.mean * y.mean / overall, 6) + 0.0 AS apc FROM n JOIN m x ON x.protein = n.protein AND x.i = n.i JOIN m y ON y.protein = n.protein AND y.i = n.j JOIN o ON o.protein = n.protein""")
+def agg26_coupling_apc(spark, d):
+    """The score that other methods are compared with: norms of couplings with average-product correction."""
+    norms = stored(K.norms(couplings(spark, d)).withColumnRenamed("norm", "score"))
+    return rounded(I.average_product(norms, lengths(spark, d)), "apc").select("protein", "i", "j", "apc")
+
+
+@query(CP + "SELECT w.protein, (d < 8)::INT AS class, count(*) AS pairs, round(avg(w[1]), 6) + 0.0 AS mean_first FROM w JOIN d USING (protein, i, j) GROUP BY ALL")
+def prj6_distance_class(spark, d):
+    both = K.distance_class(couplings(spark, d).join(distances(spark, d), ["protein", "i", "j"]), 8.0)
+    return rounded(both.groupBy("protein", "class").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("w")[0]).alias("mean_first")), "mean_first")
+
+
 LL = P + ", l AS (SELECT protein, i, j, -d / 10 AS ll_1, -pow(d - 14, 2) / 200 - 1 AS ll_0, (-1.226::DOUBLE + 0.598::DOUBLE * ln(length)) / (length - 1) AS prior FROM d JOIN len USING (protein))"
 
 
