@@ -72,3 +72,16 @@ def covariance_couplings(freq2: DataFrame) -> DataFrame:
     """(protein, i, j, w): covariances of the 400 state pairs, in order."""
     cell = F.struct((F.col("a") * 20 + F.col("b")).alias("ab"), (F.col("f2") - F.col("pi") * F.col("pj")).alias("w"))
     return freq2.groupBy("protein", "i", "j").agg(F.transform(F.sort_array(F.collect_list(cell)), lambda x: x["w"]).alias("w"))
+
+
+def mean_propensities(positions: DataFrame, names: list[str]) -> DataFrame:
+    """Means over a protein's positions of predicted propensities, one column each."""
+    return positions.groupBy("protein").agg(*[F.avg(n).alias(f"mean_{n}") for n in names])
+
+
+def coupling_study(couplings: DataFrame, features: DataFrame, pairs: dict[str, int]) -> DataFrame:
+    """Each pair's sum of couplings and sizes of the couplings of named residue pairs (numbers within the block, from 0), beside the protein's length, depth and diversity."""
+    one = [F.abs(F.try_element_at("w", F.lit(ab + 1))).alias(name) for name, ab in pairs.items()]
+    rows = couplings.select("protein", "i", "j", F.aggregate("w", F.lit(0.0), lambda s, v: s + v).alias("sum_w"), *one)
+    ratio = (0.2 * F.col("length") / F.col("neff")).alias("depth_ratio")
+    return rows.join(features.select("protein", "length", "neff", "diversity", ratio), "protein")

@@ -121,3 +121,30 @@ def prj8_contact_map(spark, d):
     """Positions from 1, as maps show them."""
     out = U.contact_flags(Y.distances(spark, d).filter("d <= 20"), 8.0, 14.0)
     return out.select("protein", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "contact")
+
+
+@query(Y.P + "SELECT protein, round(avg(exp(x) / (exp(x) + exp(y) + exp(z))), 6) + 0.0 AS mean_coil, round(avg(exp(y) / (exp(x) + exp(y) + exp(z))), 6) + 0.0 AS mean_helix, round(avg(exp(z) / (exp(x) + exp(y) + exp(z))), 6) + 0.0 AS mean_sheet FROM p GROUP BY 1")
+def agg24_mean_propensities(spark, d):
+    """Shares from a residue's three numbers stand for predicted propensities."""
+    total = F.exp("x") + F.exp("y") + F.exp("z")
+    shares = Y.points(spark, d).select("protein", *[(F.exp(c) / total).alias(n) for c, n in (("x", "coil"), ("y", "helix"), ("z", "sheet"))])
+    return rounded(X.mean_propensities(shares, ["coil", "helix", "sheet"]), "mean_coil", "mean_helix", "mean_sheet")
+
+
+@query(L.F2 + GF[len(L.W) :] + """SELECT f2.protein, i, j, round(sum(f2 - pi_ * pj), 6) + 0.0 AS sum_w, round(max(abs(f2 - pi_ * pj)) FILTER (a = 0 AND b = 0), 6) + 0.0 AS first_pair, round(max(abs(f2 - pi_ * pj)) FILTER (a = 4 AND b = 4), 6) + 0.0 AS fifth_pair,
+CAST(any_value(length) AS INT) AS length, round(any_value(neff), 6) + 0.0 AS neff, round(any_value(diversity), 6) + 0.0 AS diversity, round(any_value(0.2::DOUBLE * length / neff), 6) + 0.0 AS depth_ratio FROM f2 JOIN gf ON gf.protein = f2.protein GROUP BY f2.protein, i, j""")
+def prj10_coupling_study(spark, d):
+    """Covariances stand for couplings."""
+    w = X.covariance_couplings(L.Shared(spark, d).freq2)
+    out = X.coupling_study(w, global_features(spark, d), {"first_pair": 0, "fifth_pair": 84})
+    return rounded(out, "sum_w", "first_pair", "fifth_pair", "neff", "diversity", "depth_ratio")
+
+
+@query(L.F2 + """, x AS (SELECT protein, i, j, pow(f2 - pi_ * pj, 2) AS ww, pi_ * log2(pi_) * pj * log2(pj) AS u FROM f2), e AS (SELECT protein, sum(ww * u) / sum(u * u) AS eta FROM x GROUP BY 1)
+SELECT protein, i, j, round(sum(1000000 * (ww - eta * u)), 6) + 0.0 AS total, round(min(1000000 * (ww - eta * u)), 6) + 0.0 AS least, round(max(1000000 * (ww - eta * u)), 6) + 0.0 AS most FROM x JOIN e USING (protein) GROUP BY ALL""")
+def cor6_elementwise_correction(spark, d):
+    """Covariances stand for couplings; in millionths."""
+    t = L.Shared(spark, d)
+    out = K.elementwise_correction(X.covariance_couplings(t.freq2), t.single)
+    c = 1000000 * F.col("corrected")
+    return rounded(out.groupBy("protein", "i", "j").agg(F.sum(c).alias("total"), F.min(c).alias("least"), F.max(c).alias("most")), "total", "least", "most")
