@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.llm import chat, imatch, imatch_sql, minhash, passages, quality, secrets, sharding, tokens
+from pairweave.llm import chat, crosstok, imatch, imatch_sql, minhash, passages, quality, repair, secrets, sharding, tokens, topk
 from pairweave.llm.common import documents
 
 
@@ -75,6 +75,20 @@ def op10_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstok.token_alignment(documents(spark, sf_dir), ranks_path(), public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding"), 20, F.col("vec_id") % 20 == 0)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan, turns = repair.repair(repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    out = plan.alias("p").join(repair.digests(turns).alias("t"), F.col("p.conv_id").eqNullSafe(F.col("t.conv_id")), "left")
+    return out.select("p.*", F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_repeated_passages": op1_repeated_passages,
     "op2_section_tokens": op2_section_tokens,
@@ -86,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": op8_near_duplicates,
     "op9_packing": op9_packing,
     "op10_reshard": op10_reshard,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {"op3_imatch": imatch_sql.SQL, "op5_secrets": secrets.sql()}
@@ -134,3 +151,11 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(seg)) AS BIGINT) AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+ORACLES["op12_exact_top_k"] = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score, row_number() OVER (PARTITION BY q.r ORDER BY score DESC, c.vec_id NULLS LAST) AS rank
+  FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM s WHERE rank <= 20
+"""
