@@ -7,7 +7,12 @@ occurs has a row, pairs of positions with i <= j.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,41 +50,99 @@ def mean_gap_fraction(long: DataFrame) -> DataFrame:
     return gap_fractions(long).groupBy("protein").agg(F.avg("gap_fraction").alias("gap_fraction"))
 
 
-def _same(a: Column, b: Column, counts) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: counts(x, y).cast("int")), F.lit(0), lambda s, x: s + x)
+#: Sequences of a protein in one block; a task compares two blocks.
+BLOCK = 512
+
+
+def _block_pairs(alignment: DataFrame, size: int) -> DataFrame:
+    """(protein, seq_id, states, block, u, v): each sequence in every pair u <= v of its protein's blocks that its own is one of. A deep protein is dealt over as many tasks as it has pairs of blocks."""
+    blocks = alignment.groupBy("protein").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
+    rows = alignment.select("protein", "seq_id", "states").join(blocks, "protein").withColumn("block", F.pmod(F.xxhash64("seq_id"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("u"), F.greatest(k, "block").alias("v")))
+    return rows.withColumn("pair", F.explode(pairs)).select("protein", "seq_id", "states", "block", "pair.u", "pair.v")
+
+
+@dataclass
+class _Blocks:
+    """The sequences of two blocks as arrays; of one block twice where both are one."""
+
+    protein: pa.Scalar
+    seq_x: np.ndarray
+    x: np.ndarray
+    seq_y: np.ndarray
+    y: np.ndarray
+    one: bool
 
+    @classmethod
+    def of(cls, table: pa.Table) -> _Blocks:
+        states, block = table.column("states").combine_chunks(), table.column("block").to_numpy()
+        seq = table.column("seq_id").to_numpy()
+        length = np.diff(states.offsets.to_numpy())
+        cells = np.full((len(seq), max(length.max(initial=0), 1)), -1, np.int16)
+        cells[np.arange(cells.shape[1]) < length[:, None]] = states.flatten().to_numpy()
+        u, v = table.column("u")[0].as_py(), table.column("v")[0].as_py()
+        return cls(table.column("protein")[0], seq[block == u], cells[block == u], seq[block == v], cells[block == v], u == v)
 
-def identities(alignment: DataFrame) -> DataFrame:
+    def rows(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(row of x, rows of y it is paired with, alike positions, of these gaps, positions where neither has a gap)."""
+        gaps = self.y == GAP
+        for i, row in enumerate(self.x):
+            others = np.arange(i + 1, len(self.y)) if self.one else np.arange(len(self.y))
+            same, own = self.y[others] == row, row == GAP
+            yield i, others, same.sum(1), (same & own).sum(1), (~gaps[others] & ~own).sum(1)
+
+
+def identities(alignment: DataFrame, block: int = BLOCK) -> DataFrame:
     """(protein, a, b, ids, shared_gaps, both_residues, length) of all sequence pairs a < b of a protein.
 
-    All pairs of a protein are the result, so the work is their number; pairs
-    are dealt over the tasks by the join, not protein by protein.
+    All pairs of a protein are the result, so the work is their number; they are
+    dealt by pairs of blocks and compared as arrays.
     """
-    a = alignment.select("protein", F.col("seq_id").alias("a"), F.col("states").alias("x"))
-    b = alignment.select("protein", F.col("seq_id").alias("b"), F.col("states").alias("y"))
-    return a.join(b, "protein").filter("a < b").select(
-        "protein", "a", "b",
-        _same(F.col("x"), F.col("y"), lambda p, q: p == q).alias("ids"), _same(F.col("x"), F.col("y"), lambda p, q: (p == q) & (p == GAP)).alias("shared_gaps"),
-        _same(F.col("x"), F.col("y"), lambda p, q: (p != GAP) & (q != GAP)).alias("both_residues"), F.size("x").alias("length"),
-    )
-
-
-def neighbours(ids: DataFrame, cutoff: float, rule: str = "simple", ignore_gaps: bool = False) -> DataFrame:
-    """Pairs that count as alike: ids >= ceil(cutoff * length); with ``ignore_gaps`` shared gaps count neither as alike nor as length; rule "ungapped_strict": more than cutoff of the columns where both have a residue."""
-    alike, length = F.col("ids"), F.col("length")
+
+    def work(table: pa.Table) -> pa.Table:
+        both = _Blocks.of(table)
+        first, second, numbers = [both.seq_x[:0]], [both.seq_x[:0]], [np.zeros((3, 0), int)]
+        for i, others, *found in both.rows():
+            mine, theirs = both.seq_x[i], both.seq_y[others]
+            first.append(np.minimum(mine, theirs))
+            second.append(np.maximum(mine, theirs))
+            numbers.append(np.stack(found))
+        ids, shared, residues = np.concatenate(numbers, axis=1)
+        kind = table.schema.field("seq_id").type
+        a, b = (pa.array(np.concatenate(x), kind) for x in (first, second))
+        return pa.table({"protein": pa.repeat(both.protein, len(a)), "a": a, "b": b} | {n: pa.array(x, pa.int32()) for n, x in (("ids", ids), ("shared_gaps", shared), ("both_residues", residues), ("length", np.full(len(a), both.x.shape[1])))})
+
+    p, q = (alignment.schema[c].dataType.simpleString() for c in ("protein", "seq_id"))
+    schema = f"protein {p}, a {q}, b {q}, ids int, shared_gaps int, both_residues int, length int"
+    return _block_pairs(alignment, block).groupBy("protein", "u", "v").applyInArrow(work, schema)
+
+
+def _alike(ids: np.ndarray, shared: np.ndarray, residues: np.ndarray, length: int, cutoff: float, rule: str, ignore_gaps: bool) -> np.ndarray:
+    """Which pairs count as alike: ids >= ceil(cutoff * length); with ``ignore_gaps`` shared gaps count neither as alike nor as length; rule "ungapped_strict": more than cutoff of the columns where both have a residue."""
     if rule == "ungapped_strict":
-        return ids.filter((alike - F.col("shared_gaps")) > F.lit(cutoff) * F.col("both_residues"))
+        return ids - shared > cutoff * residues
     if ignore_gaps:
-        alike, length = alike - F.col("shared_gaps"), length - F.col("shared_gaps")
-    return ids.filter(alike >= F.ceil(F.lit(cutoff) * length))
-
-
-def sequence_weights(alignment: DataFrame, cutoff: float = 0.8, rule: str = "simple", ignore_gaps: bool = False) -> DataFrame:
-    """(protein, seq_id, weight): one over the number of alike sequences, itself among them."""
-    near = neighbours(identities(alignment), cutoff, rule, ignore_gaps)
-    ends = near.select("protein", F.col("a").alias("seq_id")).union(near.select("protein", F.col("b").alias("seq_id")))
-    count = ends.groupBy("protein", "seq_id").agg(F.count(F.lit(1)).alias("k"))
-    return alignment.select("protein", "seq_id").join(count, ["protein", "seq_id"], "left").select("protein", "seq_id", (1.0 / (F.coalesce("k", F.lit(0)) + 1)).alias("weight"))
+        return ids - shared >= np.ceil(cutoff * (length - shared))
+    return ids >= np.ceil(cutoff * length)
+
+
+def sequence_weights(alignment: DataFrame, cutoff: float = 0.8, rule: str = "simple", ignore_gaps: bool = False, block: int = BLOCK) -> DataFrame:
+    """(protein, seq_id, weight): one over the number of alike sequences, itself among them. Tasks hand on counts, not pairs."""
+
+    def work(table: pa.Table) -> pa.Table:
+        both = _Blocks.of(table)
+        count = np.zeros(len(both.x), np.int64), np.zeros(len(both.y), np.int64)
+        for i, others, *found in both.rows():
+            near = _alike(*found, both.x.shape[1], cutoff, rule, ignore_gaps)
+            count[0][i] += near.sum()
+            count[1][others[near]] += 1
+        seq = pa.array(np.concatenate([both.seq_x, both.seq_y]), table.schema.field("seq_id").type)
+        return pa.table({"protein": pa.repeat(both.protein, len(seq)), "seq_id": seq, "k": pa.array(np.concatenate(count), pa.int64())})
+
+    p, q = (alignment.schema[c].dataType.simpleString() for c in ("protein", "seq_id"))
+    schema = f"protein {p}, seq_id {q}, k long"
+    counts = _block_pairs(alignment, block).groupBy("protein", "u", "v").applyInArrow(work, schema)
+    return counts.groupBy("protein", "seq_id").agg((1.0 / (F.sum("k") + 1)).alias("weight"))
 
 
 def effective_number(weights: DataFrame) -> DataFrame:

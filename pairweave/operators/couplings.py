@@ -7,16 +7,27 @@ pairs of states of u_i(a) u_j(b) is the product of the sums U_i and U_j.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairweave.functions.scalars import entropy_term, variance_term
 
 
+def norm_of(w: str | Column) -> Column:
+    return F.sqrt(F.aggregate(w, F.lit(0.0), lambda s, v: s + v * v))
+
+
 def norms(couplings: DataFrame, states: int = 20, stride: int = 20) -> DataFrame:
     """(protein, i, j, norm): Frobenius norm of the first ``states`` rows and columns of each block of ``stride``."""
     x = F.col("w") if states == stride else F.filter("w", lambda v, k: (k % stride < states) & (F.floor(k / stride) < states))
-    return couplings.select("protein", "i", "j", F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v)).alias("norm"))
+    return couplings.select("protein", "i", "j", norm_of(x).alias("norm"))
+
+
+def shares(w: str) -> Column:
+    """Exponentials of an array's values over their sum, which is taken once for the row."""
+    e = F.transform(w, lambda x: F.exp(x))
+    total = F.aggregate(w, F.lit(0.0), lambda s, x: s + F.exp(x))
+    return F.zip_with(e, F.array_repeat(total, F.size(w)), lambda x, t: x / t)
 
 
 def weighted_score(couplings: DataFrame, beta: DataFrame) -> DataFrame:

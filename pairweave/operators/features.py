@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairweave.operators.couplings import norm_of
+from pairweave.operators.information import average_product
 from pairweave.operators.stats import correlation
 
 
@@ -85,3 +87,35 @@ def coupling_study(couplings: DataFrame, features: DataFrame, pairs: dict[str, i
     rows = couplings.select("protein", "i", "j", F.aggregate("w", F.lit(0.0), lambda s, v: s + v).alias("sum_w"), *one)
     ratio = (0.2 * F.col("length") / F.col("neff")).alias("depth_ratio")
     return rows.join(features.select("protein", "length", "neff", "diversity", ratio), "protein")
+
+
+#: Columns that tell what a pair is; all others are features.
+CLASS_COLUMNS = ["distance", "contact", "noncontact", "i", "j", "length", "protein"]
+
+
+def external_score(pairs: DataFrame, scores: DataFrame, name: str, lengths: DataFrame | None = None) -> DataFrame:
+    """Adds another method's ``score`` of a pair as feature ``name``; with ``lengths``, corrected by average products. Pairs without a score have a null."""
+    if lengths is not None:
+        scores = average_product(scores.select("protein", "i", "j", "score"), lengths).select("protein", "i", "j", F.col("apc").alias("score"))
+    return pairs.join(scores.select("protein", "i", "j", F.col("score").alias(name)), ["protein", "i", "j"], "left")
+
+
+def coupling_features(pairs: DataFrame, couplings: DataFrame, lengths: DataFrame, raw: bool = False, probabilities: DataFrame | None = None) -> DataFrame:
+    """Adds ``norm`` and ``norm_apc`` of a pair's couplings; on request the couplings themselves (``raw``, an array) and a pair's model probabilities (``model``, an array). Arrays stay arrays in the row."""
+    keys = ["protein", "i", "j"]
+    out = pairs.join(couplings.select(*keys, *([F.col("w").alias("raw")] if raw else []), norm_of("w").alias("norm")), keys)
+    out = external_score(out, couplings.select(*keys, norm_of("w").alias("score")), "norm_apc", lengths)
+    if probabilities is not None:
+        out = out.join(probabilities.select(*keys, F.col("q").alias("model")), keys)
+    return out
+
+
+def assembled(rows: DataFrame, scalars: list[str], arrays: list[str] = ()) -> DataFrame:
+    """Adds ``features``, one array of the scalar features and then the arrays, in order."""
+    return rows.withColumn("features", F.concat(F.array(*[F.col(c).cast("double") for c in scalars]), *[F.transform(c, lambda x: x.cast("double")) for c in arrays]))
+
+
+def split_features(rows: DataFrame, classes: list[str] = CLASS_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """(features, classes) of wide rows: columns named in ``classes`` that are there go to the second, all others to the first."""
+    given = [c for c in rows.columns if c in classes]
+    return rows.drop(*given), rows.select(*given)

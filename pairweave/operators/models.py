@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+import operator
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
@@ -12,7 +14,7 @@ from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -62,6 +64,75 @@ def select_features(model: PipelineModel, features: list[str], percentile: float
     return [f for f in features if values[f] > limit] or features
 
 
+RUN_META = "estimator string, features array<string>, importance_mean array<double>, importance_median array<double>, trees array<int>, training map<string,string>"
+
+
+@dataclass
+class Forest:
+    """A forest grown in parts, each a pipeline, so that none holds all trees while it is trained. ``training``: settings and sizes, as text."""
+
+    parts: list[PipelineModel]
+    trees: list[int]
+    features: list[str]
+    training: dict[str, str] = field(default_factory=dict)
+
+    def importances(self) -> list[tuple[str, float, float]]:
+        """(feature, mean importance, median importance over all trees), in the order of ``features``."""
+        of_tree = np.array([t.featureImportances.toArray() for p in self.parts for t in p.stages[-1].trees])
+        total = of_tree.sum(0)
+        return list(zip(self.features, (total / (total.sum() or 1.0)).tolist(), np.median(of_tree, axis=0).tolist()))
+
+
+def grow(rows: DataFrame, features: list[str], label: str, trees: int = 1000, at_once: int = 250, seed: int = 1, **options) -> Forest:
+    """A forest of ``trees``, ``at_once`` in a part. ``options`` of the classifier, such as maxDepth."""
+    sizes = [at_once] * (trees // at_once) + [trees % at_once] * (trees % at_once > 0)
+    parts = [train(rows, features, label, numTrees=n, seed=seed + k, **options) for k, n in enumerate(sizes)]
+    size = clean(rows, features).groupBy(F.col(label).cast("int").alias("c")).count().collect()  # two classes
+    training = {"label": label, "trees": str(trees), "seed": str(seed), **{k: str(v) for k, v in options.items()}, **{f"class_{r.c}": str(r["count"]) for r in size}}
+    return Forest(parts, sizes, features, training)
+
+
+def scored_by(forest: Forest, rows: DataFrame) -> DataFrame:
+    """Adds ``score``, the probability of class 1 over all trees. Other columns stay."""
+    out = clean(rows, forest.features)
+    kept = out.columns
+    for k, part in enumerate(forest.parts):
+        out = part.transform(out).select(*kept, *[f"_score_{i}" for i in range(k)], vector_to_array("probability")[1].alias(f"_score_{k}"))
+    mean = functools.reduce(operator.add, [F.col(f"_score_{k}") * n for k, n in enumerate(forest.trees)]) / sum(forest.trees)
+    return out.select(*kept, mean.alias("score"))
+
+
+def save_forest(spark: SparkSession, forest: Forest, path: str) -> None:
+    """The parts below ``path`` and, written last, the ``run_meta`` row that tells what they are: without it there is no model."""
+    for k, part in enumerate(forest.parts):
+        part.write().overwrite().save(f"{path}/part={k}")
+    mean, median = ([x[i] for x in forest.importances()] for i in (1, 2))
+    row = ("random_forest", forest.features, mean, median, forest.trees, forest.training)
+    spark.createDataFrame([row], RUN_META).coalesce(1).write.mode("overwrite").json(f"{path}/run_meta")
+
+
+def load_forest(spark: SparkSession, path: str) -> Forest:
+    meta = spark.read.schema(RUN_META).json(f"{path}/run_meta").first()
+    parts = [PipelineModel.load(f"{path}/part={k}") for k in range(len(meta.trees))]
+    return Forest(parts, list(meta.trees), list(meta.features), dict(meta.training))
+
+
+def compare_selections(rows: DataFrame, features: list[str], label: str, fold: str, folds: list[int], percentiles: list[float], **options) -> list[tuple[float, list[str], float]]:
+    """(importance limit, features of at least that, area under the precision-recall curve of held-out scores) for the importances at each percentile; equal limits count once.
+
+    Importances are those of a model of all rows. Each selection is trained
+    anew for each of the stored folds and scores the fold that it hasn't seen.
+    """
+    values = {f: v for f, v, _ in importances(train(rows, features, label, **options), features)}
+    evaluator = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderPR")
+    out = []
+    for limit in np.unique(np.percentile(list(values.values()), percentiles)).tolist():
+        chosen = [f for f in features if values[f] >= limit]
+        held_out = leave_one_fold_out(rows, chosen, label, fold, folds, **options)
+        out.append((limit, chosen, evaluator.evaluate(held_out.select("score", F.col(label).cast("double").alias("label")))))
+    return out
+
+
 def search(rows: DataFrame, features: list[str], label: str, fold: str, grid: dict[str, list], folds: int, kind: str = "forest", **options) -> list[tuple[dict, float]]:
     """Mean area under the precision-recall curve of each parameter set, with the given folds (0 to folds - 1)."""
     estimator = classifier(kind, **options)
@@ -94,6 +165,56 @@ def principal_components(rows: DataFrame, keys: list[str], values: str, k: int)
     return model.transform(data).select(*keys, F.posexplode(vector_to_array("p")).alias("component", "value")).withColumn("value", F.col("value") * F.array(*map(F.lit, sign))[F.col("component")])
 
 
+def projections(rows: DataFrame, key: str, values: str, k: int) -> DataFrame:
+    """(key, mean ARRAY, axes ARRAY<ARRAY>) for each key: the first k principal components of its own array rows, and their centre.
+
+    A key's Gram sums (as wide as its arrays, squared) are made in parts and
+    added, so its rows needn't meet in one task; only its matrix does. Signs
+    make each component's largest entry positive.
+    """
+    def partial(batches):
+        import pyarrow as pa
+
+        held: dict = {}
+        kind = None
+        for b in batches:
+            kind = b.schema.field(key).type
+            keys = b.column(key).to_pylist()
+            x = b.column(values).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1) if keys else np.zeros((0, 1))
+            for name in dict.fromkeys(keys):
+                own = x[[i for i, v in enumerate(keys) if v == name]]
+                n, s, g = held.get(name, (0, 0.0, 0.0))
+                held[name] = (n + len(own), s + own.sum(0), g + own.T @ own)
+        for name, (n, s, g) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name], kind), pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], [key, "n", "sum", "gram"])
+
+    def solve(group):
+        import pandas as pd
+
+        n = group["n"].sum()
+        s, g = np.sum(np.stack(group["sum"]), axis=0), np.sum(np.stack(group["gram"]), axis=0)
+        d = len(s)
+        mean = s / n
+        cov = (g.reshape(d, d) - n * np.outer(mean, mean)) / max(n - 1, 1)
+        _, vectors = np.linalg.eigh(cov)
+        axes = vectors[:, ::-1][:, :k].T
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+        return pd.DataFrame({key: [group[key].iloc[0]], "mean": [mean.tolist()], "axes": [axes.tolist()]})
+
+    kind = rows.schema[key].dataType.simpleString()
+    data = rows.select(key, F.transform(values, lambda v: v.cast("double")).alias(values))
+    sums = data.mapInArrow(partial, f"{key} {kind}, n long, sum array<double>, gram array<double>")
+    return sums.groupBy(key).applyInPandas(solve, f"{key} {kind}, mean array<double>, axes array<array<double>>")
+
+
+def projected(rows: DataFrame, keys: list[str], key: str, values: str, projection: DataFrame) -> DataFrame:
+    """(keys, component, value): rows on the components of their key, whichever rows these were made from."""
+    both = rows.join(projection, key)
+    centred = F.zip_with(F.col(values), F.col("mean"), lambda v, m: v.cast("double") - m)
+    value = F.transform("axes", lambda axis: F.aggregate(F.zip_with(axis, centred, lambda a, v: a * v), F.lit(0.0), lambda s, x: s + x))
+    return both.select(*keys, F.posexplode(value).alias("component", "value"))
+
+
 def one_hot(alignment: DataFrame, states: int = 21) -> DataFrame:
     """Alignment rows as arrays of 0 and 1."""
     hot = F.flatten(F.transform("states", lambda s: F.transform(F.sequence(F.lit(0), F.lit(states - 1)), lambda a: (a == s).cast("double"))))

@@ -34,3 +34,18 @@ def balanced(rows: DataFrame, truth: str, order: list[Column], keys: list[str],
     """Up to ``positives`` true rows and ``balance`` times as many others of each key."""
     cap = F.when(F.col(truth) == 1, positives).otherwise(balance * positives)
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys, truth).orderBy(*order))).filter(F.col("_n") <= cap).drop("_n")
+
+
+def decoys(rows: DataFrame, group: str, cls: str, key: Column, ties: list[str], per_group: int, per_class: int) -> DataFrame:
+    """Up to ``per_group`` rows of each group and class, and of these up to ``per_class`` of each class, by the shuffle ``key`` (0 to 1,000,002) and ``ties``.
+
+    A class has as many rows as it likes: they are counted by range of the key,
+    and only the range in which the class is full is ranked, about a thousandth
+    of its rows.
+    """
+    few = capped(rows.withColumn("_key", key), [group, cls], ["_key", *ties], per_group).withColumn("_range", F.floor(F.col("_key") / 1000))
+    upto = Window.partitionBy(cls).orderBy("_range")
+    counts = few.groupBy(cls, "_range").agg(F.count(F.lit(1)).alias("_n")).withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))  # 1,001 rows for each class
+    both = few.join(F.broadcast(counts.drop("_n").filter(F.col("_before") < per_class)), [cls, "_range"])
+    full = F.row_number().over(Window.partitionBy(cls, "_range").orderBy("_key", *ties)) + F.col("_before")
+    return both.withColumn("_at", full).filter(F.col("_at") <= per_class).drop("_key", "_range", "_before", "_at")

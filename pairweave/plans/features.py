@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pairweave.functions.scratch import stored
 from pairweave.operators import alignment as A
 from pairweave.operators import couplings as K
 from pairweave.operators import features as X
@@ -148,3 +149,45 @@ def cor6_elementwise_correction(spark, d):
     out = K.elementwise_correction(X.covariance_couplings(t.freq2), t.single)
     c = 1000000 * F.col("corrected")
     return rounded(out.groupBy("protein", "i", "j").agg(F.sum(c).alias("total"), F.min(c).alias("least"), F.max(c).alias("most")), "total", "least", "most")
+
+
+FEATURE_ROWS = Y.CP + """, nn AS (SELECT protein, i, j, sqrt(list_sum(list_transform(w, lambda x: x * x))) AS score FROM w), xx AS (SELECT protein, i, j, 1 / (1 + d) AS score FROM d)""" + "".join(
+    f""", f{t} AS (SELECT protein, i, score FROM {t} UNION ALL SELECT protein, j, score FROM {t}), m{t} AS (SELECT protein, i, sum(score) / any_value(length) AS mean FROM f{t} JOIN len USING (protein) GROUP BY ALL), o{t} AS (SELECT protein, sum(score) / any_value(length) / any_value(length) AS overall FROM f{t} JOIN len USING (protein) GROUP BY ALL),
+a{t} AS (SELECT {t}.protein, {t}.i, {t}.j, score, score - p.mean * q.mean / overall AS apc FROM {t} JOIN m{t} p ON p.protein = {t}.protein AND p.i = {t}.i JOIN m{t} q ON q.protein = {t}.protein AND q.i = {t}.j JOIN o{t} ON o{t}.protein = {t}.protein)"""
+    for t in ("nn", "xx")
+)
+
+
+def feature_rows(spark, d):
+    """Pairs with their class columns, and features: separation, norms of couplings, another method's corrected score, all couplings, and model probabilities (shares of their exponentials)."""
+    pairs = Y.distances(spark, d).select("protein", "i", "j", F.col("d").alias("distance"), (F.col("d") <= 8).cast("int").alias("contact"), (F.col("j") - F.col("i")).alias("separation"))
+    w, lengths = stored(Y.couplings(spark, d)), Y.lengths(spark, d)
+    model = w.select("protein", "i", "j", K.shares("w").alias("q"))
+    out = X.coupling_features(pairs, w, lengths, raw=True, probabilities=model)
+    other = pairs.select("protein", "i", "j", (1 / (1 + F.col("distance"))).alias("score"))
+    return X.assembled(X.external_score(out, other, "other_apc", lengths), ["separation", "norm", "norm_apc", "other_apc"], ["raw", "model"])
+
+
+@query(FEATURE_ROWS + """, e AS (SELECT protein, i, j, w, list_sum(list_transform(w, lambda x: exp(x))) AS t FROM w)
+SELECT protein, i, j, 804 AS features, round(j - i + ann.score + ann.apc + axx.apc + list_sum(w) + 1, 6) + 0.0 AS total, round(ann.score, 6) + 0.0 AS norm, round(ann.apc, 6) + 0.0 AS norm_apc, round(axx.apc, 6) + 0.0 AS other_apc, round(w[400], 6) + 0.0 AS last_coupling, round(exp(w[400]) / t, 6) + 0.0 AS last_share
+FROM e JOIN ann USING (protein, i, j) JOIN axx USING (protein, i, j)""")
+def cor9_coupling_features(spark, d):
+    """804 features of a pair in one array, read back at places."""
+    f = F.col("features")
+    out = stored(feature_rows(spark, d).select("protein", "i", "j", "features")).select("protein", "i", "j", F.size(f).alias("features"), F.aggregate(f, F.lit(0.0), lambda s, x: s + x).alias("total"), f[1].alias("norm"), f[2].alias("norm_apc"), f[3].alias("other_apc"), f[403].alias("last_coupling"), f[803].alias("last_share"))
+    return rounded(out, "total", "norm", "norm_apc", "other_apc", "last_coupling", "last_share")
+
+
+@query(FEATURE_ROWS + "SELECT protein, i, j, round(apc, 6) + 0.0 AS score FROM axx")
+def cor10_external_score(spark, d):
+    pairs = Y.distances(spark, d)
+    other = pairs.select("protein", "i", "j", (1 / (1 + F.col("d"))).alias("score"))
+    return rounded(X.external_score(pairs.select("protein", "i", "j"), other, "score", Y.lengths(spark, d)), "score").select("protein", "i", "j", "score")
+
+
+@query(Y.P + "SELECT protein, (d <= 8)::INT AS contact, count(*) AS n, round(avg(d), 6) + 0.0 AS mean_distance, 'features,model,norm,norm_apc,other_apc,raw,separation' AS feature_columns FROM d GROUP BY ALL")
+def prj3_classes(spark, d):
+    """What is left of feature rows when the features are split off, and which columns these are."""
+    features, classes = X.split_features(feature_rows(spark, d))
+    out = classes.groupBy("protein", "contact").agg(F.count(F.lit(1)).alias("n"), F.avg("distance").alias("mean_distance"))
+    return rounded(out, "mean_distance").withColumn("feature_columns", F.lit(",".join(sorted(features.columns))))

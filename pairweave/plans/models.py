@@ -5,12 +5,18 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from pairweave.functions.scratch import folder, stored
 from pairweave.operators import bayes as B
+from pairweave.operators import couplings as K
 from pairweave.operators import evaluation as E
+from pairweave.operators import mixture as Q
 from pairweave.operators import models as O
+from pairweave.operators import structure as U
+from pairweave.operators.prediction import predict_and_register
+from pairweave.operators.store import Store
 from pairweave.plans.alignment import alignment
-from pairweave.plans.registry import query, r6, table
-from pairweave.plans.structure import couplings, distances
+from pairweave.plans.registry import query, r6, rounded, table
+from pairweave.plans.structure import CP, couplings, distances, lengths
 
 FEATURES = ["n_chars", "n_words", "n_letters", "n_digits", "n_lines", "distinct_words"]
 
@@ -94,15 +100,107 @@ def start() -> B.Mixture:
     return B.Mixture(np.array([[0.5, 0.3, 0.2], [0.2, 0.3, 0.5]]), r.normal(0, 0.05, (3, SIZE)), np.full((3, SIZE), 200.0) * np.array([[1.0], [2.0], [4.0]]))
 
 
-@query()
+def _bay_sql() -> str:
+    """The closed form, a row for each pair, component and dimension."""
+    mix = start()
+    rows = ", ".join(f"({k}, {x + 1}, {float(mix.mean[k, x])!r}::DOUBLE, {float(mix.precision[k, x])!r}::DOUBLE, {float(mix.weights[0, k])!r}::DOUBLE, {float(mix.weights[1, k])!r}::DOUBLE)" for k in range(len(mix.mean)) for x in range(SIZE))
+    return CP + f""", v AS (SELECT w.protein, w.i, w.j, (20 + (w.i * 7 + w.j) % 100)::DOUBLE AS n, w[1:{SIZE}] AS w, list_sum(list_transform(w[1:{SIZE}], lambda x: exp(x))) AS t FROM w),
+par AS (SELECT * FROM (VALUES {rows}) p(k, x, m, p, w0, w1)),
+c AS (SELECT protein, i, j, n, k, w0, w1, m, p, exp(w[x]) / t * 0.9::DOUBLE AS q, w[x] AS w, list_sum(list_transform(w, lambda y: exp(y) / t * 0.9::DOUBLE * y)) AS qw FROM v, par),
+a AS (SELECT *, n * q + p AS a, n * (q * w - q * qw) + 0.01::DOUBLE * w + p * m AS b FROM c),
+s AS (SELECT protein, i, j, k, any_value(w0) AS w0, any_value(w1) AS w1, any_value(n) AS n, 1 / any_value(n) - sum(q * q / a) AS rest, sum(ln(a)) AS la, sum(q / a * b) AS qab, sum(b * b / a) AS bba, sum(ln(p)) - sum(p * m * m) AS own FROM a GROUP BY protein, i, j, k),
+k AS (SELECT *, 0.5::DOUBLE * (own - ln(n * rest) - la + bba + qab * qab / rest) AS ll FROM s),
+ll AS (SELECT protein, i, j, max(ll) + ln(sum(w0 * exp(ll - top))) AS ll_0, max(ll) + ln(sum(w1 * exp(ll - top))) AS ll_1 FROM (SELECT *, max(ll) OVER (PARTITION BY protein, i, j) AS top FROM k) GROUP BY protein, i, j)
+"""
+
+
+BAY = _bay_sql()
+
+
+@query(BAY + "SELECT protein, i, j, round(ll_0, 6) + 0.0 AS ll_0, round(ll_1, 6) + 0.0 AS ll_1 FROM ll")
 def bay1_log_likelihood(spark, d):
     return B.log_likelihoods(bayes_inputs(spark, d), start(), 0.01).select("protein", "i", "j", r6("ll_0").alias("ll_0"), r6("ll_1").alias("ll_1"))
 
 
+@query(BAY + """, e AS (SELECT protein, (-1.226::DOUBLE + 0.598::DOUBLE * ln(length)) / (length - 1) AS prior FROM len),
+o AS (SELECT protein, unnest(['mix', 'contact_prior', 'mix_logbf', 'mix_llik']) AS method, unnest([prior * exp(ll_1 - ll_0) / (1 - prior + prior * exp(ll_1 - ll_0)), prior, ll_1 - ll_0, exp(ll_1 - ll_0) / (1 + exp(ll_1 - ll_0))]) AS score FROM ll JOIN e USING (protein))
+SELECT method, protein, count(*) AS n, round(avg(score), 6) + 0.0 AS mean, round(max(score), 6) + 0.0 AS most FROM o GROUP BY ALL""")
+def bay10_registered_predictions(spark, d):
+    """Priors by length, likelihoods, posteriors, and all four methods in a store; run twice, as after a failure."""
+    pairs = stored(bayes_inputs(spark, d))
+    prior = U.contact_prior(lengths(spark, d), 8, 8).select("protein", "prior")
+    store = Store.create(spark, pairs.select("protein", "i", "j", "truth"), ["protein", "i", "j"])
+    for _ in range(2):
+        predict_and_register(store, pairs.join(prior, "protein"), start(), 0.01, "mix")
+    out = store.scores().groupBy("method", "protein").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.max("score").alias("most"))
+    return rounded(out, "mean", "most")
+
+
 @query()
 def bay4_fit(spark, d):
     """The objective after each of five steps."""
-    from pairweave.functions.scratch import stored
-
     _, log = B.fit(stored(bayes_inputs(spark, d)), start(), 0.01, 5)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(log)], "step int, objective double")
+
+
+def parameters(of_length: bool = True) -> Q.Parameters:
+    """Three isotropic components of 400 dimensions; the first one stays around 0."""
+    return Q.Parameters.start(3, 400, 1, frozenset({"weight_bg_0", "weight_contact_0", "mu_0"}), isotropic=True, of_length=of_length)
+
+
+@query()
+def bay6_fitted_parameters(spark, d):
+    """Seeded parameters after three steps on all couplings; component 0 keeps its mean."""
+    rows = _fit_rows(spark, d)
+    fitted, _ = Q.fit(rows, parameters(), 0.01, 3, 0.1, 10.0)
+    return fitted.table(spark)
+
+
+def _fit_rows(spark, d):
+    """All 400 couplings of the pairs, their shares of exponentials, and the length of their chain."""
+    rows = stored(couplings(spark, d)).withColumn("q", F.transform(K.shares("w"), lambda x: x * 0.9))
+    n = (F.lit(20) + F.pmod(F.col("i") * 7 + F.col("j"), F.lit(100))).cast("double")
+    near = distances(spark, d).select("protein", "i", "j", (F.col("d") <= 8).cast("int").alias("truth"))
+    return stored(rows.join(near, ["protein", "i", "j"]).join(lengths(spark, d), "protein").select("protein", "i", "j", n.alias("n"), "q", "w", "truth", "length"))
+
+
+@query()
+def bay4_regularised_fit(spark, d):
+    """The log of a fit with a regulariser on four in five proteins, the others held out."""
+    rows = _fit_rows(spark, d)
+    _, log = Q.fit(rows.filter("protein % 5 <> 0"), parameters(), 0.01, 4, 0.1, 10.0, held_out=rows.filter("protein % 5 = 0"), every=2)
+    return spark.createDataFrame(log, "step int, objective double, held_out double, norm_weights double, norm_means double, norm_precisions double")
+
+
+@query()
+def ml9_saved_forest(spark, d):
+    """A forest grown in parts and saved with its ``run_meta`` row; scores before, and after it is loaded again."""
+    rows, path = stored(labelled(spark, d)), folder(spark)
+    forest = O.grow(rows, FEATURES, "quality", trees=60, at_once=25, maxDepth=5)
+    O.save_forest(spark, forest, path)
+    before = O.scored_by(forest, rows).select("doc_id", F.col("score").alias("before"))
+    return before.join(O.scored_by(O.load_forest(spark, path), rows).select("doc_id", F.col("score").alias("after")), "doc_id")
+
+
+@query()
+def ml2_large_forest(spark, d):
+    """Importances over 1,000 trees."""
+    forest = O.grow(stored(labelled(spark, d)), FEATURES, "quality", trees=1000, at_once=250, maxDepth=5)
+    return spark.createDataFrame(forest.importances(), "feature string, mean double, median double")
+
+
+@query()
+def ml7_selection_compared(spark, d):
+    """Selections by importance at five percentiles, each trained anew and scored on held-out folds."""
+    found = O.compare_selections(stored(labelled(spark, d)), FEATURES, "quality", "fold", list(range(5)), [10, 30, 50, 70, 90], numTrees=20, maxDepth=5)
+    return spark.createDataFrame([(limit, len(chosen), ",".join(chosen), area) for limit, chosen, area in found], "importance_limit double, n_features int, features string, area double")
+
+
+@query("""WITH e AS (SELECT label AS protein, vec_id AS seq_id, unnest(range(1, 65)) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings), m AS (SELECT protein, x, avg(v) AS mean FROM e WHERE seq_id % 2 = 0 GROUP BY ALL)
+SELECT protein, seq_id, round(sum(pow(v - mean, 2)), 6) + 0.0 AS squared FROM e JOIN m USING (protein, x) GROUP BY ALL""")
+def ml11_second_alignment(spark, d):
+    """All vectors on all components of their label's even ones: lengths are kept, so squares add up to the squared distance from the centre."""
+    rows = table(spark, d, "embeddings").select(F.col("label").alias("protein"), F.col("vec_id").alias("seq_id"), "embedding")
+    axes = stored(O.projections(rows.filter("seq_id % 2 = 0"), "protein", "embedding", 64))
+    out = O.projected(rows, ["protein", "seq_id"], "protein", "embedding", axes)
+    return rounded(out.groupBy("protein", "seq_id").agg(F.sum(F.col("value") * F.col("value")).alias("squared")), "squared")

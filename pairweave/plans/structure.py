@@ -10,6 +10,8 @@ from pairweave.functions.scratch import stored
 from pairweave.operators import bayes as B
 from pairweave.operators import couplings as K
 from pairweave.operators import information as I
+from pairweave.operators import inputs as N_
+from pairweave.operators import mixture as Q
 from pairweave.operators import sampling as M
 from pairweave.operators import structure as U
 from pairweave.plans.registry import query, r6, rounded, table
@@ -157,6 +159,52 @@ def smp5_balanced_sample(spark, d):
     return out.groupBy("l_suppkey", "truth").agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("orders"))
 
 
+@query(f"""WITH d AS (SELECT *, l_discount < 0.05 AS near FROM lineitem),
+g AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY l_suppkey, near ORDER BY {HASH}) <= 30)
+SELECT near, l_suppkey, l_orderkey, l_linenumber, l_partkey FROM g QUALIFY row_number() OVER (PARTITION BY near ORDER BY {HASH}) <= 2000""")
+def smp4_decoys(spark, d):
+    """At most 30 rows of each supplier and class, and 2,000 of each class."""
+    rows = table(spark, d, "lineitem").withColumn("near", F.col("l_discount") < 0.05)
+    out = M.decoys(rows, "l_suppkey", "near", order()[0], order()[1:], 30, 2000)
+    return out.select("near", "l_suppkey", "l_orderkey", "l_linenumber", "l_partkey")
+
+
+INPUTS = """WITH i AS (SELECT regexp_replace(split_part(regexp_extract(name, '[^/]*$'), '.', 1), '_', '', 'g') AS protein, kind, n FROM (
+  SELECT 'ali/sup_' || l_suppkey || '.filt.psc' AS name, 'alignment' AS kind, count(*) AS n FROM lineitem WHERE l_tax > 0.02 AND l_discount > 0.05 AND l_quantity > 20 GROUP BY l_suppkey
+  UNION ALL SELECT 'sup' || s_suppkey || '.pdb', 'structure', NULL FROM supplier WHERE s_acctbal > 500
+  UNION ALL SELECT DISTINCT '/braw/sup_' || l_suppkey || '.filt.braw.gz', 'couplings', NULL FROM lineitem WHERE l_suppkey % 7 <> 3
+  UNION ALL SELECT 's_up' || s_suppkey || '.bqij', 'probabilities', NULL FROM supplier WHERE s_nationkey <> 4)),
+f AS (SELECT protein, bool_or(kind = 'alignment') AS a, bool_or(kind = 'structure') AS s, bool_or(kind = 'couplings') AS c, bool_or(kind = 'probabilities') AS p, max(n) AS n FROM i GROUP BY 1),
+"""
+
+
+def inputs(spark, d):
+    lines_, suppliers = table(spark, d, "lineitem"), table(spark, d, "supplier")
+    name = lambda before, key, after: F.concat(F.lit(before), F.col(key).cast("string"), F.lit(after)).alias("name")
+    return {
+        "alignment": lines_.filter("l_tax > 0.02 and l_discount > 0.05 and l_quantity > 20").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).select(name("ali/sup_", "l_suppkey", ".filt.psc"), "n"),
+        "structure": suppliers.filter("s_acctbal > 500").select(name("sup", "s_suppkey", ".pdb")),
+        "couplings": lines_.filter("l_suppkey % 7 <> 3").select("l_suppkey").distinct().select(name("/braw/sup_", "l_suppkey", ".filt.braw.gz")),
+        "probabilities": suppliers.filter("s_nationkey <> 4").select(name("s_up", "s_suppkey", ".bqij")),
+    }
+
+
+@query(INPUTS + """r AS (SELECT *, list_filter([CASE WHEN NOT a THEN 'no alignment' END, CASE WHEN NOT s THEN 'no structure' END, CASE WHEN NOT c THEN 'no couplings' END, CASE WHEN NOT p THEN 'no probabilities' END, CASE WHEN n < 100 THEN 'few sequences' END], lambda x: x IS NOT NULL) AS why FROM f)
+SELECT protein, n, array_to_string(why, '; ') AS reasons, len(why) = 0 AS kept FROM r""")
+def join5_complete_inputs(spark, d):
+    """Four kinds of input by suppliers, under names that differ; what each supplier lacks."""
+    given = inputs(spark, d)
+    return N_.complete(N_.presence(given, "alignment"), list(given), 100).select("protein", "n", "reasons", "kept")
+
+
+@query(INPUTS + "k AS (SELECT protein FROM f WHERE a AND s AND c AND p AND n >= 100) SELECT protein, n AS rows FROM f SEMI JOIN k USING (protein)")
+def fil17_kept_inputs(spark, d):
+    """Alignments of suppliers that have all their inputs."""
+    given = inputs(spark, d)
+    kept = N_.complete(N_.presence(given, "alignment"), list(given), 100)
+    return N_.with_inputs(given, kept)["alignment"].select("protein", F.col("n").alias("rows"))
+
+
 SPLIT = """WITH c AS (SELECT l_linenumber % 5 AS fold, l_suppkey AS g, count(*) AS n FROM lineitem GROUP BY ALL),
 a AS (SELECT fold, g FROM (SELECT *, coalesce(sum(n) OVER (PARTITION BY fold ORDER BY (g * 7919 + 1) % 1000003, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c) WHERE b < 5000),
 r AS (SELECT * FROM c ANTI JOIN a USING (fold, g)),
@@ -255,3 +303,19 @@ def sca9_mixture_density(spark, d):
     parts = points(spark, d).groupBy("protein").agg(F.avg("x").alias("mu"), (1 / F.var_pop("x")).alias("prec"))
     rows = parts.withColumn("place", F.explode(F.sequence(F.lit(-20).cast("long"), F.lit(20).cast("long"))))
     return rounded(rows.groupBy("place").agg(F.avg(C.normal_density(F.col("place"), F.col("mu"), F.col("prec"))).alias("density")), "density")
+
+
+@query(P + "SELECT protein, round(-0.5::DOUBLE * sum(exp(2 * x / 10)) / 9, 6) + 0.0 AS penalty, round(-sum(exp(2 * x / 10)) / 9, 6) + 0.0 AS gradient FROM p GROUP BY 1")
+def bay5_precision_regulariser(spark, d):
+    """Exponentials stand for precisions: the gradient is that of their logarithms."""
+    rows = points(spark, d).select("protein", F.exp(F.col("x") / 10).alias("precision"))
+    return rounded(Q.regulariser(rows, ["protein"], "precision", 3.0, precision=True), "penalty", "gradient")
+
+
+@query(P + ", m AS (SELECT CAST(label % 3 AS INT) AS component, list(exp(embedding[1]::DOUBLE * 3) ORDER BY vec_id) AS prec FROM embeddings WHERE label < 3 GROUP BY 1) SELECT protein, component, round(list_sum(list_transform(prec, lambda x: x * length)), 6) + 0.0 AS total, round(list_min(prec) * length, 6) + 0.0 AS least FROM len, m")
+def bay6_precision_of_length(spark, d):
+    """Three components, their precisions times each chain's length."""
+    e = table(spark, d, "embeddings").filter("label < 3").select(F.col("label").alias("component"), "vec_id", F.exp(F.col("embedding")[0].cast("double") * 3).alias("p"))
+    components = e.groupBy("component").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "p"))), lambda x: x["p"]).alias("prec"))
+    out = Q.of_length(components, lengths(spark, d), 3)
+    return rounded(out.select("protein", "component", F.aggregate("prec", F.lit(0.0), lambda s, x: s + x).alias("total"), F.array_min("prec").alias("least")), "total", "least")
