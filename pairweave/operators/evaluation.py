@@ -123,11 +123,12 @@ def top_share(pairs: DataFrame, keys: list[str], ties: list[str], divisor: int =
 
 
 def rank_changes(pairs: DataFrame, keys: list[str], first: str, second: str, ties: list[str]) -> DataFrame:
-    """Pairs among the best ``length`` of either method, with both ranks and the sign of their difference."""
+    """Pairs among the best ``length`` of either method, with both ranks and the sign of their difference: ranked once, and a pair's two ranks put side by side."""
     names = [*keys, *ties]
-    a = ranked(pairs.filter(F.col("method") == first), keys, ties).select(*names, "length", F.col("rank").alias("rank_1"))
-    b = ranked(pairs.filter(F.col("method") == second), keys, ties).select(*names, F.col("rank").alias("rank_2"))
-    return a.join(b, names, "full").filter("rank_1 <= length or rank_2 <= length").withColumn("change", F.signum(F.col("rank_1") - F.col("rank_2")).cast("int")).drop("length")
+    both = ranked(pairs.filter(F.col("method").isin(first, second)), [*keys, "method"], ties)
+    of = lambda m, name: F.max(F.when(F.col("method") == m, F.col("rank"))).alias(name)
+    sides = both.groupBy(*names).agg(of(first, "rank_1"), of(second, "rank_2"), F.max("length").alias("length"))
+    return sides.filter("rank_1 <= length or rank_2 <= length").withColumn("change", F.signum(F.col("rank_1") - F.col("rank_2")).cast("int")).drop("length")
 
 
 def classification_report(predictions: DataFrame, by: list[str], threshold: float = 0.5) -> DataFrame:

@@ -179,8 +179,9 @@ def top2_strongest_pairs(spark, d):
     return E.ranked(pairs(spark, d), KEYS, TIES).filter("rank <= 5 and truth = 1").select(*KEYS, *TIES, "rank")
 
 
-@query(S + """SELECT protein, oi, ln, pk, qu, a.rank AS rank_1, b.rank AS rank_2, CAST(sign(a.rank - b.rank) AS INT) AS change FROM (SELECT * FROM r WHERE method = 'price') a JOIN (SELECT * FROM r WHERE method = 'discount') b USING (protein, oi, ln, pk, qu)
-  JOIN len USING (protein) WHERE a.rank <= length OR b.rank <= length""")
+@query("""WITH x AS (SELECT l_suppkey AS protein, l_orderkey AS oi, l_linenumber AS ln, l_partkey AS pk, CAST(l_quantity AS INT) AS qu, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT)) AS rank_1,
+  row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber, l_partkey, CAST(l_quantity AS INT)) AS rank_2, count(*) OVER (PARTITION BY l_suppkey) // 10 AS length FROM lineitem)
+SELECT protein, oi, ln, pk, qu, CAST(rank_1 AS INTEGER) AS rank_1, CAST(rank_2 AS INTEGER) AS rank_2, CAST(sign(rank_1 - rank_2) AS INTEGER) AS change FROM x WHERE rank_1 <= length OR rank_2 <= length""")
 def win10_rank_changes(spark, d):
     return E.rank_changes(pairs(spark, d).join(lengths(spark, d), "protein"), ["protein"], "price", "discount", TIES)
 
