@@ -1,16 +1,26 @@
 """Operator 5, secret scans, in DataFrame functions only.
 
 Three kinds of spans come from patterns. The method adds a fourth, "random":
-runs of 20 and more characters of common encodings that no test battery can
-tell from random symbols. For each run the encoding is inferred (hexadecimal,
-base 32, base 64 with either set of signs); chi-squared tells whether its
-alphabet is used evenly, a runs test whether high and low symbols alternate as
-they should, and the lag-1 serial correlation whether neighbours are alike. The
-three p-values are combined by Fisher's method. The hypothesis is that a run is
-random: ordinary words and names are rejected by the Benjamini-Hochberg rule at
-LEVEL, within each band of lengths, as tests of longer runs tell more. What isn't
-rejected is a span. p-values are rounded up to steps, so that the rule needs a
-histogram of bounded size only.
+runs of 20 and more characters of common encodings, letters and digits mixed,
+that are too even for a name. For each run the encoding is inferred
+(hexadecimal, base 32, base 64 with either set of signs).
+
+1.  The test battery asks whether the run can be random: chi-squared tells
+    whether its alphabet is used evenly, a runs test whether high and low symbols
+    alternate as they should, and the lag-1 serial correlation whether neighbours
+    are alike. The three p-values are combined by Fisher's method; a run that is
+    rejected at ALPHA (words, repeats, series) is no candidate.
+2.  The hypothesis that is tested for reporting is that the run is an ordinary
+    name. Its sum of squared counts, which is chi-squared but for constants, has
+    a mean and a variance that follow from its length and from how evenly names
+    use the alphabet; its runs of capitals, of small letters and of digits are as
+    long as those of names (NAMES). The p-value is that of a sum as small and of
+    runs as short, by Stouffer's method.
+3.  The Benjamini-Hochberg rule at LEVEL rejects that hypothesis, within each
+    band of lengths, as longer runs tell more: of what is reported, a share of
+    LEVEL at most is expected to be names. What is rejected is a span; a run that
+    is no candidate counts as a test of p-value 1. p-values are rounded up to
+    steps, so that the rule needs a histogram of bounded size only.
 
 Positions are code points, ends exclusive. All expressions exist in Spark SQL
 and in DuckDB from one text (``Dialect``).
@@ -43,7 +53,11 @@ ASSIGN_HINT = r"""[:=]\x20*["']?[A-Za-z0-9+/_.=-]{12,}"""
 ACCESS = "AKIA[A-Z0-9]{14,}"
 HEX = "[0-9a-f]{16,}"
 CANDIDATE = "[A-Za-z0-9+/_-]{20,}"
-LEVEL = 0.05
+LEVEL = 0.02
+#: A run is no candidate where the battery rejects randomness at this level; of random runs, so many are lost.
+ALPHA = 0.01
+# Fixed values, by the size of the alphabet: sums of the squares and of the cubes of symbols' shares in ordinary names (English letters; in 64 symbols, about one in eight a capital, a digit or a sign); mean and spread over names of the share of places where capitals, small letters and digits change.
+NAMES = {16: (0.11, 0.014, 0.25, 0.12), 32: (0.054, 0.0039, 0.15, 0.08), 64: (0.05, 0.0033, 0.35, 0.12)}
 #: Lengths at which the next band begins.
 BANDS = [24, 32, 48]
 #: p-values are rounded up to powers of 2 ** (1 / STEPS); LAST is the smallest step.
@@ -147,20 +161,30 @@ def steps(d: Dialect) -> list[list[tuple[str, str]]]:
     following = d.numbers(f"{d.count('x.v')} - 1")
     now, after = d.at("x.v", "i_"), d.at("x.v", "i_ + 1")
     turns = d.total(d.map(following, "i_", f"CASE WHEN ({now} >= x.size / 2) <> ({after} >= x.size / 2) THEN 1.0 ELSE 0.0 END" if d.duck else f"CASE WHEN ({now} >= x.size / 2) <> ({after} >= x.size / 2) THEN 1D ELSE 0D END"))
-    sums = d.map("vals", "x", d.struct(start="x.start", stop="x.stop", size="x.size", n=n, same=same, high=f"CAST({d.count(high)} AS DOUBLE)", turns=turns, mean=f"{d.total('x.v')} / {n}", v="x.v"))
+    cls = lambda v: f"CASE WHEN x.size <= 16 THEN CASE WHEN {v} >= 10 THEN 1 ELSE 0 END WHEN {v} >= 52 THEN 2 WHEN {v} >= 26 THEN 1 ELSE 0 END"
+    changes = f"CAST({d.count(d.keep(following, 'i_', f'({cls(now)}) <> ({cls(after)})'))} AS DOUBLE)"
+    sums = d.map("vals", "x", d.struct(start="x.start", stop="x.stop", size="x.size", n=n, changes=changes, same=same, high=f"CAST({d.count(high)} AS DOUBLE)", turns=turns, mean=f"{d.total('x.v')} / {n}", v="x.v"))
     lag = d.total(d.map(following, "i_", f"({now} - x.mean) * ({after} - x.mean)"))
     spread = d.total(d.map("x.v", "y_", "(y_ - x.mean) * (y_ - x.mean)"))
-    moments = d.map("sums", "x", d.struct(start="x.start", stop="x.stop", size="x.size", n="x.n", same="x.same", turns="x.turns", expected="2 * x.high * (x.n - x.high) / x.n", lag=lag, spread=spread))
+    moments = d.map("sums", "x", d.struct(start="x.start", stop="x.stop", size="x.size", n="x.n", changes="x.changes", same="x.same", turns="x.turns", expected="2 * x.high * (x.n - x.high) / x.n", lag=lag, spread=spread))
     # z of each test; where a test has no spread (one symbol, one side only) it rejects outright.
     df = "(x.size - 1)"
     chi = f"(pow((x.size / x.n * x.same - x.n) / {df}, 1.0 / 3) - (1 - 2 / (9 * {df}))) / sqrt(2 / (9 * {df}))"
     runs = "CASE WHEN x.expected * (x.expected - 1) <= 0 THEN 40.0 ELSE abs(x.turns - x.expected) / sqrt(x.expected * (x.expected - 1) / (x.n - 1)) END"
     serial = "CASE WHEN x.spread <= 0 THEN 40.0 ELSE abs(x.lag / x.spread) * sqrt(x.n) END"
-    scores = d.map("moments", "x", d.struct(start="x.start", stop="x.stop", n="x.n", chi=f"CAST(least(37.0, greatest(-37.0, {chi})) AS DOUBLE)", runs=f"CAST(least(37.0, {runs}) AS DOUBLE)", serial=f"CAST(least(37.0, {serial}) AS DOUBLE)"))
-    logs = d.map("scores", "x", d.struct(start="x.start", stop="x.stop", n="x.n", half=f"-ln(CASE WHEN x.chi >= 0 THEN {tail('x.chi')} ELSE 1 - {tail('-x.chi')} END) - ln(2 * {tail('x.runs')}) - ln(2 * {tail('x.serial')})"))
+    by_size = lambda k: "CASE " + " ".join(f"WHEN x.size <= {m} THEN {v[k]}" for m, v in list(NAMES.items())[:-1]) + f" ELSE {NAMES[64][k]} END"
+    s2, s3, mean, sd = (f"CAST({by_size(k)} AS DOUBLE)" for k in range(4))
+    # The number of equal pairs, half of what the sum of squares has over n, as a gamma distribution of that mean and variance, by Wilson and Hilferty.
+    expected = f"(x.n * (x.n - 1) / 2 * {s2})"
+    shape = f"({expected} * {expected} / (x.n * (x.n - 1) / 2 * ({s2} - {s2} * {s2}) + x.n * (x.n - 1) * (x.n - 2) * ({s3} - {s2} * {s2})))"
+    even = f"((1 - 1 / (9 * {shape}) - pow((x.same - x.n) / 2 / {expected}, 1.0 / 3)) * 3 * sqrt({shape}))"
+    short = f"(x.changes / (x.n - 1) - {mean}) / sqrt({sd} * {sd} + {mean} * (1 - {mean}) / (x.n - 1))"
+    name = f"({even} + {short}) / sqrt(2.0)"
+    scores = d.map("moments", "x", d.struct(start="x.start", stop="x.stop", n="x.n", name=f"CAST(least(37.0, greatest(-37.0, {name})) AS DOUBLE)", chi=f"CAST(least(37.0, greatest(-37.0, {chi})) AS DOUBLE)", runs=f"CAST(least(37.0, {runs}) AS DOUBLE)", serial=f"CAST(least(37.0, {serial}) AS DOUBLE)"))
+    logs = d.map("scores", "x", d.struct(start="x.start", stop="x.stop", n="x.n", name=f"CASE WHEN x.name >= 0 THEN {tail('x.name')} ELSE 1 - {tail('-x.name')} END", half=f"-ln(CASE WHEN x.chi >= 0 THEN {tail('x.chi')} ELSE 1 - {tail('-x.chi')} END) - ln(2 * {tail('x.runs')}) - ln(2 * {tail('x.serial')})"))
     p = "exp(-greatest(x.half, 0.0)) * (1 + greatest(x.half, 0.0) + greatest(x.half, 0.0) * greatest(x.half, 0.0) / 2)"
     band = "CASE " + " ".join(f"WHEN x.n < {b} THEN {i}" for i, b in enumerate(BANDS)) + f" ELSE {len(BANDS)} END"
-    step = f"CAST(least({LAST}, greatest(0, floor(-ln(greatest({p}, 1e-300)) / ln(2.0) * {STEPS}))) AS INT)"
+    step = f"CAST(least({LAST}, greatest(0, floor(-ln(greatest(CASE WHEN {p} < {ALPHA} THEN 1.0 ELSE x.name END, 1e-300)) / ln(2.0) * {STEPS}))) AS INT)"
     tested = d.map("logs", "x", d.struct(start="x.start", stop="x.stop", band=band, step=step))
     return [found, sizes, ends, spans, [("base", base)], [("chosen", chosen)], [("vals", values)], [("sums", sums)], [("moments", moments)], [("scores", scores)], [("logs", logs)], [("tested", tested)]]
 
@@ -196,9 +220,9 @@ def rejected_from(counts: list[int]) -> int:
     return least
 
 
-def accepted(limits: list[int]) -> str:
+def reported(limits: list[int]) -> str:
     limit = "CASE x.band " + " ".join(f"WHEN {i} THEN {s}" for i, s in enumerate(limits)) + " END"
-    return f"transform(filter(tested, x -> x.step < {limit}), x -> named_struct('start', x.start, 'kind', {KINDS.index('random')}, 'stop', x.stop))"
+    return f"transform(filter(tested, x -> x.step >= {limit}), x -> named_struct('start', x.start, 'kind', {KINDS.index('random')}, 'stop', x.stop))"
 
 
 NAMED = "CASE x.kind " + " ".join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(KINDS)) + " END"
@@ -211,7 +235,7 @@ def _joined(spans: str) -> str:
 def secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: numbers and places of its spans."""
     rows = stored(scanned(docs.select("doc_id", "text")).select("doc_id", "base", "tested"))
-    rows = rows.withColumn("spans", F.expr(f"sort_array(concat(base, {accepted(thresholds(rows))}))"))
+    rows = rows.withColumn("spans", F.expr(f"sort_array(concat(base, {reported(thresholds(rows))}))"))
     counts = [F.expr(f"cast(size(filter(base, x -> x.kind = {i})) as long)").alias(f"n_{k}") for i, k in enumerate(KINDS[:3])]
     return rows.select("doc_id", *counts, F.sha2(F.expr(_joined("base")).cast("binary"), 256).alias("base_sha256"), F.expr(_joined("spans")).alias("spans"))
 
@@ -220,10 +244,10 @@ MASK = "[SECRET]"
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of a secret replaced by MASK; overlapping spans by one."""
+    """``docs`` with every span of a secret replaced by MASK; overlapping spans by one. A null text becomes an empty one."""
     limits = thresholds(scanned(docs.select("text").filter(F.col("text").rlike(CANDIDATE))))  # other texts have no runs
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")  # so that no column of the documents clashes
-    out = scanned(whole).withColumn("_spans", F.expr(f"sort_array(concat(base, {accepted(limits)}))"))
+    out = scanned(whole).withColumn("_spans", F.expr(f"sort_array(concat(base, {reported(limits)}))"))
     start = "named_struct('at', 0, 'out', '')"
     merge = f"(a_, x) -> CASE WHEN x.start >= a_.at THEN named_struct('at', x.stop, 'out', concat(a_.out, substring(text, a_.at + 1, x.start - a_.at), '{MASK}')) ELSE named_struct('at', greatest(a_.at, x.stop), 'out', a_.out) END"
     text = f"CASE WHEN size(_spans) = 0 THEN text ELSE aggregate(_spans, {start}, {merge}, a_ -> concat(a_.out, substring(text, a_.at + 1))) END"
@@ -244,7 +268,7 @@ def sql() -> str:
         "c AS (SELECT band, step, sum(n) OVER (PARTITION BY band ORDER BY step DESC) AS seen, sum(n) OVER (PARTITION BY band) AS total FROM h)",
         # between steps that occur the bound may be met as well: the least step s with 2 ** (-s / STEPS) <= seen / total * LEVEL
         f"e AS (SELECT band, min(step) AS limit_ FROM c WHERE pow(2.0, -step / {STEPS}.0) <= seen / total * {LEVEL} GROUP BY band)",
-        f"a AS (SELECT r, list({{'start': x.start, 'kind': {random}, 'stop': x.stop}}) AS more FROM (SELECT r, unnest(tested) AS x FROM {before}) LEFT JOIN e ON e.band = x.band WHERE x.step < coalesce(limit_, {LAST + 1}) GROUP BY r)",
+        f"a AS (SELECT r, list({{'start': x.start, 'kind': {random}, 'stop': x.stop}}) AS more FROM (SELECT r, unnest(tested) AS x FROM {before}) JOIN e ON e.band = x.band WHERE x.step >= limit_ GROUP BY r)",
         f"s AS (SELECT doc_id, base, list_sort(CASE WHEN more IS NULL THEN base ELSE list_concat(base, more) END) AS spans FROM {before} LEFT JOIN a USING (r))",
     ]
     counts = ", ".join(f"CAST(len(list_filter(base, lambda x: x.kind = {i})) AS BIGINT) AS n_{k}" for i, k in enumerate(KINDS[:3]))

@@ -57,6 +57,36 @@ def test_cases(spark):
     assert S.secrets(docs.limit(0)).count() == 0
 
 
+NAMES = """getUserAccountById2List parseHttp2ResponseBody loadConfigV2FromDisk sha256OfFileContents MAX_RETRY_COUNT_2_TIMES test_user_login_page_01 convertUtf8ToUtf16String
+org_apache_commons_io_2_x article-2023-annual-report-final version-1-0-beta-release-notes user_profile_picture_128x128 thisIsAVeryLongVariableName42 20240131_backup_of_database_main""".split()
+
+
+def random_in(spark, texts_):
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    return {x.doc_id for x in S.secrets(docs).collect() if "random" in x.spans}
+
+
+def test_names_are_not_secrets_in_tables_of_any_size(spark):
+    assert random_in(spark, [f"call {n} now" for n in NAMES]) == set()
+    for one in NAMES[:4]:
+        assert random_in(spark, [one]) == set()
+    r = random.Random(9)
+    words = ["get", "User", "Name", "parse", "Http", "config", "Load", "file", "Table", "index", "value", "Count", "list", "Order", "line", "item"]
+    many = ["".join(r.choice(words) for _ in range(6))[: r.randrange(22, 40)] + str(r.randrange(10, 99)) for _ in range(300)]
+    assert len(random_in(spark, many)) <= 3
+
+
+def test_random_runs_among_names(spark):
+    """Keys of 40 symbols and more are found among as many names, and few of the names."""
+    r = random.Random(10)
+    b64 = string.ascii_letters + string.digits + "+/"
+    keys = ["".join(r.choice(b64) for _ in range(r.choice([40, 44, 64]))) for _ in range(100)]
+    words = ["get", "User", "Name", "parse", "Http", "config", "Load", "file", "Table", "index", "value", "Count", "list", "Order", "line", "item"]
+    names = ["".join(r.choice(words) for _ in range(12))[: r.randrange(36, 64)] + str(r.randrange(10, 99)) for _ in range(100)]
+    found = random_in(spark, keys + names)
+    assert sum(i < 100 for i in found) >= 90 and sum(i >= 100 for i in found) <= 7
+
+
 def test_redact(spark):
     rows = [(1, "a password=abcdefghijkl0 é", 0, "b"), (2, "clean text", 0, "b"), (3, None, 0, None), (4, "secret=0123456789abcdef0123 end", 0, "b")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars int, base string")
