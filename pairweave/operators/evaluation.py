@@ -46,12 +46,17 @@ def at_ranks(ranked_pairs: DataFrame, keys: list[str], lengths: DataFrame, value
 
     ``lengths`` has the keys that it shares with the pairs and ``length``. The
     share counts from 0 and is rounded half to even, so rank = rint(ratio * length) + 1.
+    The wanted ranks, at most ``steps`` of a group, are taken in the pass that ranks.
     """
-    spark = ranked_pairs.sparkSession
     shared = [k for k in keys if k in lengths.columns]
-    wanted = ranked_pairs.select(*keys).distinct().join(lengths, shared).crossJoin(F.broadcast(rank_grid(spark, steps)))  # ``steps`` rows
-    wanted = wanted.withColumn("rank", (F.rint(F.col("ratio") * F.col("length")) + 1).cast("int"))
-    return wanted.join(ranked_pairs.select(*keys, "rank", *values), [*keys, "rank"], "left").select(*keys, "rank_id", "ratio", *values)
+    grid = F.array(*[F.struct(F.lit(steps - i).alias("rank_id"), F.lit(1.0 - i * (1.0 / steps)).alias("ratio")) for i in range(steps)])
+    rank_of = lambda g: (F.rint(g["ratio"] * F.col("length")) + 1).cast("int")
+    rows = ranked_pairs.select(*keys, "rank", *values).join(lengths.select(*shared, "length"), shared)
+    rows = rows.filter((F.col("rank") == 1) | F.exists(grid, lambda g: rank_of(g) == F.col("rank")))  # every group has a first rank
+    groups = rows.groupBy(*keys, "length").agg(F.map_from_entries(F.collect_list(F.struct("rank", F.struct(*values).alias("v")))).alias("at"))
+    wanted = groups.select(*keys, "length", "at", F.explode(grid).alias("g"))
+    found = wanted.select(*keys, "g.rank_id", "g.ratio", F.try_element_at("at", rank_of(F.col("g"))).alias("v"))
+    return found.select(*keys, "rank_id", "ratio", *[F.col("v")[c].alias(c) for c in values])
 
 
 def mean_by_rank(values_at_ranks: DataFrame, by: list[str], value: str) -> DataFrame:

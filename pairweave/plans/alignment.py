@@ -59,6 +59,11 @@ class Shared:
         return I.average_product(stored(scores), A.lengths(alignment(self.spark, self.d)))
 
 
+def counts2(spark, d):
+    """For queries that read them once."""
+    return A.pair_counts(long(spark, d), weights(spark, d))
+
+
 def counts(spark, d):
     return A.single_counts(long(spark, d), weights(spark, d))
 
@@ -176,14 +181,12 @@ def agg2_single_counts(spark, d):
 
 @query(C2 + "SELECT protein, i, j, a, b, round(n, 6) + 0.0 AS n FROM c2")
 def agg3_pair_counts(spark, d):
-    t = Shared(spark, d)
-    return rounded(t.counts2, "n")
+    return rounded(counts2(spark, d), "n")
 
 
 @query(C2 + "SELECT protein, i, j, round(residues, 6) + 0.0 AS residues FROM t2")
 def agg7_residue_numbers(spark, d):
-    t = Shared(spark, d)
-    return rounded(A.residue_numbers(t.counts2, ["protein", "i", "j"], ["a", "b"]), "residues")
+    return rounded(A.residue_numbers(counts2(spark, d), ["protein", "i", "j"], ["a", "b"]), "residues")
 
 
 @query(G + ", x AS (SELECT protein, avg(gap_fraction) AS g FROM g GROUP BY 1), k AS (SELECT protein, max(len(states)) AS length, count(*) AS n FROM al GROUP BY 1) SELECT protein, CAST(length AS INT) AS length, n, round(sqrt(n) / length, 6) + 0.0 AS diversity, round(g, 6) + 0.0 AS gap_fraction FROM k JOIN x USING (protein)")
@@ -237,8 +240,7 @@ def agg13_entropy_with_gaps(spark, d):
 
 @query(C2 + "SELECT protein, i, j, round(sum(-p * log2(p)), 6) + 0.0 AS entropy FROM (SELECT protein, i, j, n / sum(n) OVER (PARTITION BY protein, i, j) AS p FROM c2) GROUP BY ALL")
 def agg15_joint_entropy(spark, d):
-    t = Shared(spark, d)
-    return rounded(I.entropies(t.counts2, ["protein", "i", "j"], gaps=True), "entropy")
+    return rounded(I.entropies(counts2(spark, d), ["protein", "i", "j"], gaps=True), "entropy")
 
 
 BG = "(SELECT unnest(range(20)) AS a, unnest([" + ", ".join(f"{x}::DOUBLE" for x in I.BACKGROUND) + "]) AS q)"
