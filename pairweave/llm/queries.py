@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairweave.llm import chat, crosstok, imatch, imatch_sql, minhash, passages, quality, repair, secrets, sharding, tokens, topk
+from pairweave.llm import chat, crosstok, imatch, imatch_sql, minhash, passages, quality, repair, repair_sql, secrets, sharding, tokens, topk
 from pairweave.llm.common import documents
 
 
@@ -159,3 +159,5 @@ s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c
   FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM s WHERE rank <= 20
 """
+
+ORACLES["op13_conversation_repair"] = repair_sql.SQL

@@ -5,12 +5,13 @@ import random
 import re
 import zlib
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from pairweave.llm import repair
-from pairweave.llm.queries import QUERIES
+from pairweave.llm.queries import ORACLES, QUERIES
 
 GRAMMAR = re.compile("(s?(ua)+)?")
 
@@ -136,3 +137,16 @@ def test_query(spark):
     d = "/root/testdata/sf0.01"
     rows = [tuple(x) for x in spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
     assert sorted(map(tuple, QUERIES["op13_conversation_repair"](spark, d).collect()), key=repr) == brute(rows)
+
+
+def test_sql(spark):
+    d = "/root/testdata/sf0.001"
+    r = random.Random(21)
+    odd = [(c, t, r.choice(["user", "assistant", "system", "tool", None]), r.choice(["Yes.", "no", "", " ", "So?", None, "same."])) for c in (1000, 1001, 1002, 1003) for t in range(9)]
+    con = duckdb.connect()
+    con.sql(f"create table conversations as select conv_id, turn, role, text from '{d}/conversations.parquet'")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", odd)
+    want = con.sql(ORACLES["op13_conversation_repair"])
+    rows = con.sql("from conversations").fetchall()
+    assert sorted(map(tuple, want.fetchall()), key=repr) == brute(rows) == run(spark, rows)
+    assert want.columns == QUERIES["op13_conversation_repair"](spark, d).columns
