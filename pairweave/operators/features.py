@@ -70,6 +70,22 @@ def agreement_with_model(freq2: DataFrame) -> DataFrame:
     return freq2.groupBy("protein").agg(correlation(F.col("f2"), F.col("pi") * F.col("pj")).alias("r_independent"), correlation(F.col("n") / F.col("residues"), F.col("f2")).alias("r_pairs"))
 
 
+def observed_against_model(single: DataFrame, pairs: DataFrame, log: bool = False) -> DataFrame:
+    """(protein, r_single, r_pairs, r_covariances): how shares counted in an alignment agree with those of a model.
+
+    single: (protein, i, a, observed, model); pairs: (protein, i, j, a, b,
+    observed, model), i < j. Covariances are pair shares less the products of
+    single ones, on either side. With ``log`` single and pair shares are compared
+    as logarithms; those that aren't positive are left out.
+    """
+    scale = (lambda c: F.when(F.col(c) > 0, F.ln(c))) if log else F.col
+    side = lambda place, state, to: single.select("protein", F.col("i").alias(place), F.col("a").alias(state), F.col("observed").alias(f"o_{to}"), F.col("model").alias(f"m_{to}"))
+    both = pairs.join(side("i", "a", "i"), ["protein", "i", "a"]).join(side("j", "b", "j"), ["protein", "j", "b"])
+    cov = correlation(F.col("observed") - F.col("o_i") * F.col("o_j"), F.col("model") - F.col("m_i") * F.col("m_j"))
+    of_pairs = both.groupBy("protein").agg(correlation(scale("observed"), scale("model")).alias("r_pairs"), cov.alias("r_covariances"))
+    return single.groupBy("protein").agg(correlation(scale("observed"), scale("model")).alias("r_single")).join(of_pairs, "protein")
+
+
 def covariance_couplings(freq2: DataFrame) -> DataFrame:
     """(protein, i, j, w): covariances of the 400 state pairs, in order."""
     cell = F.struct((F.col("a") * 20 + F.col("b")).alias("ab"), (F.col("f2") - F.col("pi") * F.col("pj")).alias("w"))

@@ -92,6 +92,27 @@ def agg39_model_agreement(spark, d):
     return rounded(X.agreement_with_model(L.Shared(spark, d).freq2), "r_independent", "r_pairs")
 
 
+OM = L.F2 + """, x AS (SELECT f2.protein, coalesce(c2.n, 0) / (residues + 1e-10) AS o, f2 AS m, p.f AS oi, q.f AS oj, pi_, pj FROM f2 JOIN t2 USING (protein, i, j) JOIN f1 p ON p.protein = f2.protein AND p.i = f2.i AND p.a = f2.a JOIN f1 q ON q.protein = f2.protein AND q.i = f2.j AND q.a = f2.b
+  LEFT JOIN c2 ON c2.protein = f2.protein AND c2.i = f2.i AND c2.j = f2.j AND c2.a = f2.a AND c2.b = f2.b)"""
+
+
+def observed_and_model(spark, d):
+    """Counted shares, and those with pseudocounts in the place of a model's."""
+    t = L.Shared(spark, d)
+    single = t.single.select("protein", "i", "a", F.col("f").alias("observed"), F.col("f_pc").alias("model"))
+    return single, t.freq2.select("protein", "i", "j", "a", "b", (F.col("n") / (F.col("residues") + 1e-10)).alias("observed"), F.col("f2").alias("model"))
+
+
+@query(OM + "SELECT protein, round(s.r, 6) + 0.0 AS r_single, round(corr(o, m), 6) + 0.0 AS r_pairs, round(corr(o - oi * oj, m - pi_ * pj), 6) + 0.0 AS r_covariances FROM x JOIN (SELECT protein, corr(f, f_pc) AS r FROM f1 GROUP BY 1) s USING (protein) GROUP BY protein, s.r")
+def agg39_observed_against_model(spark, d):
+    return rounded(X.observed_against_model(*observed_and_model(spark, d)), "r_single", "r_pairs", "r_covariances")
+
+
+@query(OM + "SELECT protein, round(s.r, 6) + 0.0 AS r_single, round(corr(CASE WHEN o > 0 AND m > 0 THEN ln(o) END, CASE WHEN o > 0 AND m > 0 THEN ln(m) END), 6) + 0.0 AS r_pairs, round(corr(o - oi * oj, m - pi_ * pj), 6) + 0.0 AS r_covariances FROM x JOIN (SELECT protein, corr(ln(f), ln(f_pc)) FILTER (f > 0) AS r FROM f1 GROUP BY 1) s USING (protein) GROUP BY protein, s.r")
+def agg39_observed_against_model_log(spark, d):
+    return rounded(X.observed_against_model(*observed_and_model(spark, d), log=True), "r_single", "r_pairs", "r_covariances")
+
+
 @query(L.F2 + ", m AS (SELECT protein, i, j, f2 - (f2 - pi_ * pj) * 2 / residues AS q, residues FROM f2 JOIN t2 USING (protein, i, j)) SELECT protein, i, j, round(sum(q), 6) + 0.0 AS total, round(min(q), 6) + 0.0 AS least FROM m GROUP BY protein, i, j, residues HAVING abs(1 - sum(q)) <= 0.5 AND min(q) >= 0 AND residues >= 1")
 def cor8_model_probabilities(spark, d):
     """Shares less covariances over the numbers of pairs; only sound ones."""
