@@ -135,3 +135,11 @@ def split_features(rows: DataFrame, classes: list[str] = CLASS_COLUMNS) -> tuple
     """(features, classes) of wide rows: columns named in ``classes`` that are there go to the second, all others to the first."""
     given = [c for c in rows.columns if c in classes]
     return rows.drop(*given), rows.select(*given)
+
+
+def marked_map(distances: DataFrame, scores: DataFrame, lengths: DataFrame, contact: float, divisor: int = 2) -> DataFrame:
+    """(protein, i, j, distance, score, mark), positions from 1: "TP" or "FP" for a protein's best length / divisor pairs by score, null for the others."""
+    rows = scores.join(distances.select("protein", "i", "j", F.col("d").alias("distance")), ["protein", "i", "j"]).join(lengths.select("protein", "length"), "protein")
+    rank = F.row_number().over(Window.partitionBy("protein").orderBy(F.col("score").desc(), "i", "j"))
+    mark = F.when(F.col("rank") <= F.floor(F.col("length") / divisor), F.when(F.col("distance") <= contact, "TP").otherwise("FP"))
+    return rows.withColumn("rank", rank).select("protein", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "distance", "score", mark.alias("mark"))

@@ -145,6 +145,15 @@ def prj8_contact_map(spark, d):
     return out.select("protein", (F.col("i") + 1).alias("i"), (F.col("j") + 1).alias("j"), "contact")
 
 
+@query(Y.CP + """, n AS (SELECT protein, i, j, round(sqrt(list_sum(list_transform(w, lambda x: x * x))), 9) AS score FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY protein ORDER BY score DESC, i, j) AS rank FROM n)
+SELECT protein, i + 1 AS i, j + 1 AS j, round(d, 6) + 0.0 AS distance, round(score, 6) + 0.0 AS score, CASE WHEN rank <= length // 2 THEN CASE WHEN d <= 8 THEN 'TP' ELSE 'FP' END END AS mark FROM r JOIN d USING (protein, i, j) JOIN len USING (protein)""")
+def prj8_marked_contact_map(spark, d):
+    """Distances and scores of a map, positions from 1, with the best half length marked as right or wrong."""
+    scores = K.norms(Y.couplings(spark, d)).select("protein", "i", "j", F.round("norm", 9).alias("score"))
+    out = X.marked_map(Y.distances(spark, d), scores, Y.lengths(spark, d), 8.0)
+    return rounded(out, "distance", "score")
+
+
 @query(Y.P + "SELECT protein, round(avg(exp(x) / (exp(x) + exp(y) + exp(z))), 6) + 0.0 AS mean_coil, round(avg(exp(y) / (exp(x) + exp(y) + exp(z))), 6) + 0.0 AS mean_helix, round(avg(exp(z) / (exp(x) + exp(y) + exp(z))), 6) + 0.0 AS mean_sheet FROM p GROUP BY 1")
 def agg24_mean_propensities(spark, d):
     """Shares from a residue's three numbers stand for predicted propensities."""
