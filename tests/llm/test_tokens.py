@@ -121,6 +121,8 @@ def test_queries_on_given_table(spark, library):
     for g in rows:
         ids = np.array(library.encode_ordinary(texts[g.doc_id]), "<u4").tobytes()
         assert (g.n_tokens, g.ids_sha256, g.decoded_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts[g.doc_id].encode()).hexdigest())
+    contract = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    whole = {k: np.array([*contract.encode(t, add_special_tokens=False).ids, 0], "<u4") for k, t in texts.items()}
     for g in queries.op9_packing(spark, d).collect():
-        ids = np.array([*library.encode_ordinary(texts[g.doc_id]), 0], "<u4")
+        ids = whole[g.doc_id]
         assert g.doc_tokens == len(ids) and g.ids_crc32 == zlib.crc32(ids[g.start : g.start + g.length].tobytes())
