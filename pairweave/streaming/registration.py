@@ -9,7 +9,7 @@ from pairweave.operators.store import Store
 
 
 def register_scores(spark: SparkSession, source: str, schema: str, store: Store, checkpoint: str):
-    """A query over Parquet files (keys, method, score) in ``source``; the last score of a pair wins.
+    """A query over Parquet files (keys, method, score) in ``source``; scores of a later batch win, and of a pair's scores in one batch, which have no order, the greatest.
 
     A batch that runs again after a failure puts the same scores again, so each
     file counts once. ``trigger(availableNow)`` takes what is there and ends.
