@@ -4,11 +4,15 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from pairweave.operators import couplings as K
 from pairweave.operators import features as X
 from pairweave.operators import information as I
+from pairweave.operators import mixture as Q
+from pairweave.operators import models as O
 from pairweave.operators import structure as U
 
 
@@ -67,3 +71,42 @@ def test_average_product_by_points(spark, chain):
     p = I.points_with_means(some, score(U.distance_map(some)), lengths)
     out = I.with_average_product(score(U.distance_map(p, both=["mean"], once=["overall"])))
     assert {(r.i, r.j): r.apc for r in out.collect()} == pytest.approx(want)
+
+
+def test_ranked_pairs_shrink_to_the_rank(spark, monkeypatch):
+    monkeypatch.setattr(X, "SORTED", 3)
+    monkeypatch.setattr(X, "BINS", 4)
+    r = np.random.default_rng(5)
+    rows = [(p, 0, k, float(r.integers(0, 30)) if p == "p" else 1.0) for p in "pq" for k in range(80)]
+    scores = spark.createDataFrame(rows, "protein string, i int, j int, score double")
+    wanted = spark.createDataFrame([("p", 37), ("q", 5)], "protein string, k int")
+    got = {x.protein: (x.score, x.i, x.j) for x in X.ranked_pairs(scores, wanted).collect()}
+    order = sorted((x for x in rows if x[0] == "p"), key=lambda x: (-x[3], x[1], x[2]))
+    assert got == {"p": (order[36][3], *order[36][1:3]), "q": (1.0, 0, 4)}
+
+
+def test_pair_weights_of_factors(spark, chain):
+    pairs = U.distance_map(chain.filter("pos % 30 = 0"), both=["e"]).withColumn("near", (F.col("d") < 12).cast("int"))
+    w = F.flatten(F.transform("e_i", lambda u: F.transform("e_j", lambda v: u.cast("double") * v.cast("double"))))
+    rows = pairs.select(w.alias("w"), "near")
+    got = O.learn_pair_weights(pairs, ["e_i", "e_j"], "near", made=K.products)
+    data = rows.select(array_to_vector("w").alias("features"), F.col("near").cast("double").alias("label"))
+    want = LogisticRegression(standardization=False, regParam=1 / data.count(), tol=1e-10).fit(data)
+    assert got.weights == pytest.approx(want.coefficients.tolist(), abs=2e-3)
+    assert got.intercept == pytest.approx(want.intercept, abs=2e-3)
+
+
+def test_mixture_objective_of_factors(chain):
+    pairs = U.residue_pairs(chain.filter("pos % 60 = 0"), ["e"]).selectExpr("e_i", "e_j", "50D as n", "cast(j % 2 as int) as truth", "i", "j")
+
+    def made(part):
+        w = K.products(part)
+        return K.share_values(w) * 0.9, w
+
+    w = F.flatten(F.transform("e_i", lambda u: F.transform("e_j", lambda v: u.cast("double") * v.cast("double"))))
+    rows = pairs.withColumn("w", w).withColumn("q", F.transform(K.shares("w"), lambda x: x * 0.9))
+    p = Q.Parameters.start(2, 16, 1)
+    value, g = Q.objective(pairs, p, 0.05, made=made)
+    want, h = Q.objective(rows, p, 0.05)
+    assert value == pytest.approx(want)
+    assert g.mean == pytest.approx(h.mean)
