@@ -110,3 +110,21 @@ def test_mixture_objective_of_factors(chain):
     want, h = Q.objective(rows, p, 0.05)
     assert value == pytest.approx(want)
     assert g.mean == pytest.approx(h.mean)
+
+
+@pytest.mark.parametrize("text", ["ab-c--d", "---", "abc", "-a-b", "é1Zz"])
+def test_texts_are_read_where_they_lie(spark, text):
+    df = spark.createDataFrame([(1, text), (2, ""), (3, None)], "k long, t string")
+    rows = U.letters(df, "k", "t")
+    gap = lambda c="c": ~F.col(c).rlike("^[A-Za-z]$")
+    runs = U.gap_runs(rows, "k", gap()).collect()
+    out = U.over_texts(df, "k", "t", U.runs_of, "runs long, longest long, close long")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want = [(1, len(runs), max(r.end - r.start + 1 for r in runs), sum(r.close for r in runs))] if runs else []
+    assert [tuple(r) for r in out.collect()] == want
+    pos = U.running_position(rows, "k", gap()).agg(F.max("pos"), F.sum(F.when(~gap(), F.col("pos")))).first()
+    assert [tuple(r) for r in U.over_texts(df, "k", "t", U.positions_of, "last long, total long").collect()] == [(1, *pos)]
+    back = rows.join(U.letters(df.withColumn("t", F.reverse("t")), "k", "t").withColumnRenamed("c", "r"), ["k", "at"])
+    both = U.position_mapping(back, "k", gap(), gap("r")).collect()
+    want = [(1, len(both), sum(abs(r.pos_a - r.pos_b) for r in both))] if both else []
+    assert [tuple(r) for r in U.over_texts(df, "k", "t", lambda g: U.mapping_of(g, g[::-1]), "n long, shift long").collect()] == want
