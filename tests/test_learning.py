@@ -219,3 +219,18 @@ def test_features_of_texts_are_made_once(spark):
     from pairweave.plans.models import ml5_leave_one_fold_out
 
     assert not any("documents.parquet" in f for f in ml5_leave_one_fold_out(spark, "/root/testdata/sf0.001").inputFiles())
+
+
+def test_sequences_are_compared_by_products(monkeypatch):
+    """Two blocks as products of matrices over stretches of rows and positions; shorter sequences are alike where both are filled up."""
+    r = np.random.default_rng(9)
+    monkeypatch.setattr(A._Blocks, "ROWS", 4)
+    monkeypatch.setattr(A._Blocks, "POSITIONS", 5)
+    x, y = np.where(r.random((2, 9, 12)) < 0.3, 20, r.integers(0, 21, (2, 9, 12))).astype(np.int16)
+    x[2, 8:] = y[5, 10:] = -1
+    for one, other in ((False, y), (True, x)):
+        for start, counted, *found in A._Blocks(None, np.arange(9), x, np.arange(9), other, one).counts():
+            mine = x[start : start + len(counted), None]
+            want = (mine == other).sum(2), ((mine == 20) & (other == 20)).sum(2), ((mine != 20) & (other != 20)).sum(2)
+            assert all((f == w).all() for f, w in zip(found, want))
+            assert (counted == (np.arange(9) > np.arange(start, start + len(counted))[:, None]) if one else counted).all()
