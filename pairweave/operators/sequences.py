@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pairweave.functions.scratch import sent, stored
+
 
 def _places(text: Column, of) -> Column:
     """Where (from 0) the characters are that ``of`` holds for."""
@@ -44,7 +46,11 @@ def position_map(marked: Column) -> Column:
 
 
 def renumbered(residues: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Adds ``new_no`` to rows (protein, res_no, ...): the residue's place in the whole marked sequence; null where the sequence has no such residue. sequences: (protein, marked), a row for each protein."""
-    maps = sequences.select("protein", position_map(F.col("marked")).alias("_map"))
+    """Adds ``new_no`` to rows (protein, res_no, ...): the residue's place in the whole marked sequence; null where the sequence has no such residue. sequences: (protein, marked), a row for each protein.
+
+    Only sequences of proteins that have residues are mapped, each once.
+    """
+    wanted = sent(residues.select("protein").distinct())
+    maps = stored(sequences.join(wanted, "protein", "left_semi").select("protein", position_map(F.col("marked")).alias("_map")))
     n = F.col("res_no").cast("int")
     return residues.join(maps, "protein").withColumn("new_no", F.when(n > 0, F.get("_map", n - 1))).drop("_map")

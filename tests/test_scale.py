@@ -13,6 +13,7 @@ from pairweave.operators import features as X
 from pairweave.operators import information as I
 from pairweave.operators import mixture as Q
 from pairweave.operators import models as O
+from pairweave.operators import sequences as S
 from pairweave.operators import structure as U
 
 
@@ -128,3 +129,40 @@ def test_texts_are_read_where_they_lie(spark, text):
     both = U.position_mapping(back, "k", gap(), gap("r")).collect()
     want = [(1, len(both), sum(abs(r.pos_a - r.pos_b) for r in both))] if both else []
     assert [tuple(r) for r in U.over_texts(df, "k", "t", lambda g: U.mapping_of(g, g[::-1]), "n long, shift long").collect()] == want
+
+
+def test_only_sequences_with_residues_are_mapped(spark, monkeypatch):
+    """Sequences of other proteins, however many, aren't read letter by letter."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        seen.add(1)
+        return text
+
+    sequences = spark.range(300).select(F.col("id").alias("protein"), F.lit("ABcD").alias("marked"))
+    made = S.position_map
+    monkeypatch.setattr(S, "position_map", lambda marked: made(counted(marked)))
+    out = S.renumbered(spark.createDataFrame([(7, 3), (7, 9), (400, 1)], "protein long, res_no int"), sequences)
+    assert [tuple(r) for r in out.orderBy("res_no").collect()] == [(7, 3, 4), (7, 9, None)]
+    assert seen.value <= 2  # an expression that is used twice may call it twice
+
+
+def test_property_correlation_counts_states_once(spark):
+    """Against numpy, over several tiles and shares; a property that lacks a residue, and a position that doesn't vary."""
+    r = np.random.default_rng(8)
+    n, length = 90, 70
+    states = r.integers(0, 21, (n, length))
+    states[:, 3] = 5
+    value = {(p, a): float(r.normal(1000 * p, 1)) for p in range(2) for a in range(20) if (p, a) != (1, 7)}
+    long = spark.createDataFrame([("p", k, i, int(s)) for k, row in enumerate(states) for i, s in enumerate(row)], "protein string, seq_id long, pos int, state int")
+    props = spark.createDataFrame([(p, a, v) for (p, a), v in value.items()], "property int, a int, value double")
+    got = {(x.i, x.j): (x.r_0, x.r_1) for x in I.property_correlation(long, props).collect()}
+    assert set(got) == {(i, j) for i in range(length) for j in range(i + 1, length)}
+    for i, j in [(0, 1), (2, 69), (3, 10), (63, 64), (1, 68), (65, 69)]:
+        for p in range(2):
+            xy = [(value[p, a], value[p, b]) for a, b in states[:, [i, j]].tolist() if (p, a) in value and (p, b) in value]
+            want = None if 3 in (i, j) else np.corrcoef(np.array(xy).T)[0, 1]
+            assert got[i, j][p] == (None if want is None else pytest.approx(want, abs=1e-9)), (i, j, p)
+    text = I.property_correlation(long, props)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("covar_pop") == 0
