@@ -14,6 +14,7 @@ from pairweave.operators import information as I
 from pairweave.operators import mixture as Q
 from pairweave.operators import models as O
 from pairweave.operators import sequences as S
+from pairweave.operators import store as St
 from pairweave.operators import structure as U
 
 
@@ -166,3 +167,33 @@ def test_property_correlation_counts_states_once(spark):
             assert got[i, j][p] == (None if want is None else pytest.approx(want, abs=1e-9)), (i, j, p)
     text = I.property_correlation(long, props)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("covar_pop") == 0
+
+
+def test_close_pairs_are_not_shuffled(spark, chain):
+    """Several atoms of a residue, several blocks, boxes out of reach; a point that lacks a coordinate."""
+    r = np.random.default_rng(2)
+    rows = [("p", k, *(np.array([k * 0.05, 0, 0]) + r.normal(0, 2, 3)).tolist()) for k in range(1300) for _ in range(2)]
+    df = spark.createDataFrame([*rows, ("p", 3, None, 0.0, 0.0), ("p", 4, math.nan, 0.0, 0.0), ("q", 0, 0.0, 0.0, 0.0)], "protein string, pos int, x double, y double, z double")
+    out = U.close_pairs(df, 3.0)
+    text = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in text.split("MapInArrow")[0]
+    at = np.array([x[2:] for x in rows]).reshape(1300, 2, 3)
+    d = np.sqrt(((at[:, None, :, None] - at[None, :, None]) ** 2).sum(-1)).min((2, 3))
+    want = {(i, j): d[i, j] for i, j in zip(*np.nonzero(d <= 3.0)) if i < j}
+    got = {(x.i, x.j): x.d for x in out.collect()}
+    assert got == pytest.approx(want) and out.count() == len(want)
+
+
+def test_features_are_written_by_the_tasks_that_have_them(spark, chain, tmp_path):
+    rows = U.distance_map(chain)
+    St.write_features(rows, str(tmp_path / "f"))
+    assert len(list((tmp_path / "f" / "protein=p").glob("*.parquet"))) > 1
+    assert St.read_features(spark, str(tmp_path / "f")).count() == 1100 * 1099 // 2
+
+
+def test_structures_are_stored_as_points(spark, chain):
+    made = St.StructureStore.create(spark, chain, 6)
+    want = {(x.i, x.j): x.d for x in U.distance_map(chain).filter("j - i >= 6").collect()}
+    again = St.StructureStore(spark, made.path, made.keys).pairs()
+    assert {(x.i, x.j): x.distance for x in again.collect()} == want
+    assert sum(spark.read.parquet(f).count() for f in again.inputFiles()) == 1100
