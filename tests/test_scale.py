@@ -197,3 +197,28 @@ def test_structures_are_stored_as_points(spark, chain):
     again = St.StructureStore(spark, made.path, made.keys).pairs()
     assert {(x.i, x.j): x.distance for x in again.collect()} == want
     assert sum(spark.read.parquet(f).count() for f in again.inputFiles()) == 1100
+
+
+def test_scores_of_structures(spark, chain, tmp_path):
+    """A store of points takes the scores that a store of its pairs takes, in part and again; of new methods, and where all pairs have new scores, nothing is stored on the way."""
+    few = chain.filter("pos < 20")
+    made = St.StructureStore.create(spark, few, 3)
+    plain = St.Store.create(spark, made.pairs(), made.keys)
+    score = lambda k: F.array(*[F.struct(F.lit(m).alias("method"), (F.col("i") * k + F.col("j")).cast("double").alias("score")) for m in "ab"])
+    rows = lambda df, k: df.select("protein", "i", "j", F.inline(score(k)))
+    pairs = U.distance_map(chain.filter("pos < 25"))
+    for part, k in ((pairs, 1), (pairs.filter("i < 4"), 2), (pairs, 3)):
+        plain.put_methods(rows(part, k))
+        made.put_methods(rows(made.known(part), k), ["a", "b"], known=True)
+        got, want = ({(x.i, x.j, x.method): x.score for x in s.scores().collect()} for s in (made, plain))
+        assert got == want and len(got) == 2 * made.pairs().count()
+    plan = made.known(pairs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
+
+
+def test_predictions_meet_their_prior_without_a_join(spark, chain):
+    from pairweave.operators import prediction as R
+    from pairweave.operators.mixture import Parameters
+
+    pairs = U.distance_map(chain.filter("pos < 9")).select("protein", "i", "j", F.lit(0.1).alias("prior"), F.lit(50.0).alias("n"), F.lit([0.2, 0.3]).alias("q"), F.lit([0.1, -0.1]).alias("w"))
+    assert "Join" not in R.predictions(pairs, Parameters.start(2, 2, 1).mixture(), 0.05)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
