@@ -2,6 +2,7 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.ml.classification import LogisticRegression
@@ -16,6 +17,7 @@ from pairweave.operators import models as O
 from pairweave.operators import sequences as S
 from pairweave.operators import store as St
 from pairweave.operators import structure as U
+from pairweave.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -222,3 +224,16 @@ def test_predictions_meet_their_prior_without_a_join(spark, chain):
 
     pairs = U.distance_map(chain.filter("pos < 9")).select("protein", "i", "j", F.lit(0.1).alias("prior"), F.lit(50.0).alias("n"), F.lit([0.2, 0.3]).alias("q"), F.lit([0.1, -0.1]).alias("w"))
     assert "Join" not in R.predictions(pairs, Parameters.start(2, 2, 1).mixture(), 0.05)._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[0]
+
+
+def test_rank_changes_sort_and_never_group(spark, tmp_path):
+    """A group is shuffled once, by tasks whose number doesn't follow the size."""
+    rows = [(k % 2, k // 6, k % 3, k % 5, float(k % 7), float(k % 11), k % 4 / 10) for k in range(120)]
+    table = spark.createDataFrame(rows, "l_suppkey long, l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double")
+    table.write.parquet(str(tmp_path / "lineitem.parquet"))
+    out = QUERIES["win10_rank_changes"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(map(tuple, out.collect())) == sorted(con.sql(ORACLES["win10_rank_changes"]).fetchall())
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
